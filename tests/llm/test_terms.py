@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import term_queries
 from cairn.llm.term_counts import mark_terms, term_counts
 from cairn.llm.top_items import top_items
 
@@ -53,6 +52,7 @@ def test_top_items_ties_nulls(spark):
         top_items(spark.range(1), [], [], 0)
 
 
-def test_group_limit_before_the_shuffle(spark):
-    plan = term_queries.p3_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+def test_group_limit_before_and_after_the_shuffle(spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = top_items(items, ["l_suppkey"], [F.col("l_quantity").desc(), F.col("l_orderkey")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
