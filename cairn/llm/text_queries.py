@@ -1,10 +1,12 @@
-"""Problem 7 on the corpus."""
+"""Problems 7 and 9 on the corpus."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm.encoding import encode_texts
+from cairn.llm.reading import document_levels
 from cairn.runtime import read_table
 
 
@@ -13,5 +15,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, words, language, difficulty, top_share, is_top of every document."""
+    return document_levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_passages"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str, least_words: int = 50) -> DataFrame:
+    return p9_levels(spark, sf_dir).filter((F.col("words") >= least_words) & F.col("is_top")).select("doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_levels": p9_levels}
 SQL: dict[str, str] = {}
