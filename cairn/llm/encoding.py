@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,10 +190,20 @@ def encode_texts(docs: DataFrame, text: str, keep: list[str], name: str = "byte_
     tokens are ordinary text.  Repeated rows stay repeated.  A clash of a kept
     column with ``ids`` is an error.
     """
-    import pyspark.sql.types as T
+    short, long = _encoded(docs, text, keep, name, folder, leaf, reach, sizes=False)
+    return short.unionByName(long)
+
+
+def token_sizes(docs: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF, reach: int = REACH) -> DataFrame:
+    """``keep`` and ``n_tokens`` of every row: as ``encode_texts``, but only numbers leave the tasks."""
+    short, long = _encoded(docs, text, keep, name, folder, leaf, reach, sizes=True)
+    return short.unionByName(long.select(*keep, F.size("ids").alias("n_tokens")))
 
-    if "ids" in keep:
-        raise ValueError("a kept column is named ids")
+
+def _encoded(docs: DataFrame, text: str, keep: list[str], name: str, folder: str, leaf: int, reach: int, sizes: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows with short texts (ids, or their number) and those with long ones (ids)."""
+    if {"ids", "n_tokens", "__row", "__text", "__piece"} & set(keep):
+        raise ValueError("a kept column has a name that is taken: ids, n_tokens, __row, __text, __piece")
     ids_type = T.ArrayType(T.IntegerType())
     kept = [docs.schema[k] for k in keep]
     out = T.StructType([*kept, T.StructField("ids", ids_type)])
@@ -203,12 +214,14 @@ def encode_texts(docs: DataFrame, text: str, keep: list[str], name: str = "byte_
         for batch in batches:
             for lo, hi in _slices(batch.column(n)):
                 part = batch.slice(lo, hi - lo)
-                found = [np.asarray(enc.encode_to_numpy(t, disallowed_special=()), np.int32) if t else np.empty(0, np.int32) for t in part.column(n).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], _id_lists(found), *part.columns[n + 1 :]], names=[*batch.schema.names[:n], "ids", *batch.schema.names[n + 1 :]])
+                found = (np.asarray(enc.encode_to_numpy(t, disallowed_special=()), np.int32) if t else np.empty(0, np.int32) for t in part.column(n).to_pylist())
+                last = pa.array([len(x) for x in found], pa.int32()) if sizes else _id_lists(list(found))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], last], names=[*keep, "n_tokens" if sizes else "ids"])
 
     is_long = F.coalesce(F.length(text), F.lit(0)) > leaf
     columns = [*keep, F.col(text).alias("__text")]
-    short = docs.filter(~is_long).select(*columns).mapInArrow(encode, out)
+    counted = T.StructType([*kept, T.StructField("n_tokens", T.IntegerType())])
+    short = docs.filter(~is_long).select(*columns).mapInArrow(encode, counted if sizes else out)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,4 +260,4 @@ def encode_texts(docs: DataFrame, text: str, keep: list[str], name: str = "byte_
         .groupBy("__row")
         .applyInArrow(up_the_tree, out)
     )
-    return short.unionByName(long)
+    return short, long
