@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.neighbours import mutual_neighbours
-from cairn.runtime import latest, read_table
+from cairn.llm.markov import cluster_vectors, mean_directions
+from cairn.llm.neighbours import mutual_neighbours, usable
+from cairn.runtime import durable, latest, read_table
 
 #: The length of a usable vector of svd_100d_features.
 DIM = 100
@@ -37,5 +38,46 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select("vec_a", "vec_b")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs}
+def clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(submission_id, id, v of the usable vectors; id, cluster, cos, inflow of the members)."""
+    own = durable(submission_vectors(spark, sf_dir).filter(usable(F.col("v"), DIM)).select("submission_id", F.xxhash64("submission_id").alias("id"), "v"))
+    return own, durable(cluster_vectors(own, DIM))
+
+
+def _with_labels(spark: SparkSession, sf_dir: str, own: DataFrame, members: DataFrame) -> DataFrame:
+    """submission_id, cluster, cos, inflow, cluster_label (stated), majority (label most of the cluster carry)."""
+    stated = latest(read_table(spark, sf_dir, "predictions"), ["submission_id"], "loaded_at", ["cluster_label"])
+    rows = durable(members.join(own.select("id", "submission_id"), "id").join(stated, "submission_id", "left"))
+    votes = rows.filter("cluster_label is not null").groupBy("cluster", "cluster_label").agg(F.count(F.lit(1)).alias("n"))
+    majority = votes.groupBy("cluster").agg(F.max_by("cluster_label", F.struct("n", -F.col("cluster_label"))).alias("majority"))
+    return rows.join(majority, "cluster", "left")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_labels(spark, sf_dir, *clusters(spark, sf_dir))
+    return rows.filter("majority is not null and not cluster_label <=> majority").select("submission_id", F.col("majority").alias("cluster_label"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str, typical: int = 5) -> DataFrame:
+    """cluster, size, cluster_label, center_id, center_cos, typical_members.
+
+    ``cluster_label`` is the label most members carry, ``center_id`` the merged
+    center nearest to the mean direction (null if no center is usable), and
+    ``typical_members`` are those with most flow, then nearest to the mean.
+    """
+    own, members = clusters(spark, sf_dir)
+    rows = _with_labels(spark, sf_dir, own, members)
+    means = mean_directions(members.join(own, "id").select(F.col("cluster").alias("label"), "v"), DIM).select(F.col("label").alias("cluster"), "size", "v")
+    centers = read_table(spark, sf_dir, "mergedcentersfromallblocks").filter(usable(F.col("center_array"), DIM)).select("center_id", F.col("center_array").alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cos = dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("c"), F.col("c")))
+    # clusters (at most 1 / least share) against centers (one row each): two small tables by design
+    near = means.join(centers.hint("shuffle_replicate_nl")).groupBy("cluster").agg(F.max(F.struct(F.round(cos, 6).alias("cos"), (-F.col("center_id")).alias("k"))).alias("b"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("inflow").desc(), F.col("cos").desc(), "submission_id"))
+    best = rows.withColumn("place", place).filter(F.col("place") <= typical).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "submission_id"))).alias("m"))
+    labels = rows.groupBy("cluster").agg(F.max("majority").alias("cluster_label"))
+    return means.join(near, "cluster", "left").join(best, "cluster").join(labels, "cluster").select("cluster", "size", "cluster_label", (-F.col("b.k")).cast("int").alias("center_id"), F.col("b.cos").alias("center_cos"), F.transform("m", lambda x: x["submission_id"]).alias("typical_members"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_pairs": p4_pairs}
 SQL: dict[str, str] = {}
