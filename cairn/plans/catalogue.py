@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import drifting, keyed
+from cairn.plans import cluster_queries, drifting, keyed
 
-_MODULES = (keyed, drifting)
+_MODULES = (keyed, drifting, cluster_queries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
