@@ -168,7 +168,7 @@ def spectral_labels(centers: DataFrame, small: float = 1e-4, rounds: int = 100)
 
     if centers.count() > 5_000:
         raise ValueError("too many centers for a dense decomposition")
-    return centers.select("pos", "center").groupBy(F.lit(0)).applyInPandas(run, "pos int, label int")
+    return centers.select("pos", "center", F.lit(0).alias("g")).groupBy("g").applyInPandas(run, "pos int, label int")
 
 
 def spectral_centers(centers: DataFrame, small: float = 1e-4) -> DataFrame:

@@ -105,7 +105,7 @@ def _merge_within(rows: pd.DataFrame, how: tuple) -> pd.DataFrame:
             x = x[(delta >= how[1]) & (rho >= how[2])]
     else:
         raise ValueError(f"blocks cannot be merged by {how[0]}")
-    return pd.DataFrame({"center_idx": np.arange(len(x), dtype="int32"), "center": list(map(list, x))})
+    return pd.DataFrame({"center_idx": np.arange(len(x), dtype="int32"), "center": pd.Series([c.tolist() for c in x], dtype=object)})
 
 
 def consolidated(centers: DataFrame, how: tuple | None) -> DataFrame:
