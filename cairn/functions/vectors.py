@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 import pyspark.sql.types as T
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -47,15 +49,35 @@ def nonzero_entries(vec: Column) -> Column:
     return F.when(vec.isNotNull(), F.filter(entries, lambda e: e["term_index"].isNotNull() & (F.coalesce(e["value"], F.lit(0.0)) != 0)))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _scatter(size: pd.Series, idx: pd.Series, vals: pd.Series) -> pd.Series:
+    out = []
+    for n, i, v in zip(size, idx, vals):
+        if n is None or n != n or i is None or v is None:
+            out.append(None)
+            continue
+        n, m = max(int(n), 0), min(len(i), len(v))
+        row = np.zeros(n)
+        at, x = np.asarray(i[:m], float), np.asarray(v[:m], float)
+        use = (at >= 0) & (at < n)
+        row[at[use].astype(np.int64)] = np.nan_to_num(x[use], nan=0.0)
+        out.append(row)
+    return pd.Series(out, dtype=object)
+
+
 def densify(size: Column, idx: Column, vals: Column) -> Column:
-    """A dense array from positions and values; a position outside is dropped, the last of a repeated one counts."""
-    known = F.map_from_entries(F.array_distinct(F.transform(idx, lambda i: F.struct(i.alias("k"), F.element_at(F.filter(F.arrays_zip(idx.alias("i"), vals.alias("v")), lambda p: p["i"] == i), -1)["v"].alias("v")))))
-    return F.when(size <= 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda k: F.coalesce(F.try_element_at(known, k), F.lit(0.0))))
+    """A dense array from positions and values.
+
+    A position outside is dropped, the last of a repeated one counts, null and
+    NaN values are zeros; null if an argument is.  No built-in scatters into an
+    array in linear time, so this one runs in Arrow batches.
+    """
+    return _scatter(size.cast("int"), idx, vals)
 
 
 def vec_to_array(vec: Column, size: Column | None = None) -> Column:
     """A VEC as a dense array of ``size`` (default: the vector's own ``dim``) elements."""
-    return F.when(vec["kind"] == 1, vec["vals"]).otherwise(densify(size if size is not None else vec["dim"], vec["idx"], vec["vals"]))
+    return F.when(vec["kind"] == 1, vec["vals"]).when(vec["kind"] == 0, densify(size if size is not None else vec["dim"], vec["idx"], vec["vals"]))
 
 
 def _as_array(column: Column, kind: T.DataType, number) -> Column:

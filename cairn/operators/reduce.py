@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +14,13 @@ from pyspark.sql import functions as F
 def singular_values(points: DataFrame, k: int, r_cond: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """(singular values, right singular vectors as columns) of the matrix whose rows are ``v``.
 
-    The bridge to the distributed row matrix needs an RDD; its results are k
-    numbers and a (columns x k) matrix.
+    The distributed row matrix takes the DataFrame itself, so rows never pass
+    through Python; its results are k numbers and a (columns x k) matrix.
     """
-    from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    rows = points.select("v").rdd.map(lambda r: Vectors.dense(r[0])).cache()
+    rows = MLUtils.convertVectorColumnsFromML(points.select(array_to_vector("v").alias("x")), "x").persist()
     try:
         svd = RowMatrix(rows).computeSVD(k, computeU=False, rCond=r_cond)
         return np.array(svd.s.toArray()), np.array(svd.V.toArray())
@@ -26,10 +29,22 @@ def singular_values(points: DataFrame, k: int, r_cond: float = 1e-9) -> tuple[np
 
 
 def project(points: DataFrame, values: np.ndarray, right: np.ndarray) -> DataFrame:
-    """id, u: each row's left singular coordinates A V / s, by id, as an expression."""
-    scaled = right / np.where(values > 0, values, np.inf)
-    columns = F.array(*(F.array(*(F.lit(float(x)) for x in scaled[:, j])) for j in range(scaled.shape[1])))
-    return points.select("id", F.transform(columns, lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)).alias("u"))
+    """id, u: each row's left singular coordinates A V / s, by id.
+
+    The (columns x k) matrix goes to every task, and a batch of rows is one
+    matrix product.
+    """
+    shared = points.sparkSession.sparkContext.broadcast(np.ascontiguousarray(right / np.where(values > 0, values, np.inf)))
+    k = right.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            u = np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, len(m)) @ m
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, k, dtype=np.int32)), pa.array(u.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "u"])
+
+    return points.select("id", "v").mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, u array<double>")
 
 
 def scree(sigma: DataFrame) -> DataFrame:

@@ -192,15 +192,27 @@ def centers(s, d) -> DataFrame:
 
 _C = f"WITH c AS (SELECT (row_number() OVER (ORDER BY vec_id % 6, vec_id) - 1)::INTEGER AS pos, (vec_id % 6)::INTEGER AS block_id, vec_id AS id, embedding::DOUBLE[] AS center FROM embeddings WHERE vec_id < {N_CENTERS}), d AS (SELECT a.pos AS i, b.pos AS j, list_distance(a.center, b.center) AS d FROM c a JOIN c b ON a.pos < b.pos)"
 THRESHOLD = 1.25
-_GREEDY = (
-    _C.replace("WITH c AS", "WITH RECURSIVE c AS")
-    + f""", k(step, kept) AS (
+
+
+def _greedy(threshold: str, before: str = "") -> str:
+    """The kept positions of the greedy pass, as a recursive query over the positions."""
+    return (
+        _C.replace("WITH c AS", "WITH RECURSIVE c AS")
+        + before
+        + f""", k(step, kept) AS (
   SELECT 0, [0]
   UNION ALL
-  SELECT step + 1, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.j = step + 1 AND d.d < {THRESHOLD} AND list_contains(kept, d.i)) THEN kept ELSE list_append(kept, step + 1) END
+  SELECT step + 1, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.j = step + 1 AND d.d < {threshold} AND list_contains(kept, d.i)) THEN kept ELSE list_append(kept, step + 1) END
   FROM k WHERE step + 1 < (SELECT count(*) FROM c)),
 kept AS (SELECT unnest(kept) AS pos FROM (SELECT kept FROM k ORDER BY step DESC LIMIT 1))"""
-)
+    )
+
+
+_GREEDY = _greedy(str(THRESHOLD))
+_SHARE = ", r AS (SELECT d, row_number() OVER (ORDER BY d, i, j) AS r, count(*) OVER () AS n FROM d), t AS (SELECT avg(d) AS t FROM r WHERE r <= greatest(1, floor(n * 0.3)))"
+_OWNED = _greedy("(SELECT t FROM t)", _SHARE) + ", own AS (SELECT c.pos, coalesce((SELECT min(d.i) FROM d JOIN kept ON kept.pos = d.i WHERE d.j = c.pos AND d.d < (SELECT t FROM t)), c.pos) AS owner FROM c), ow AS (SELECT pos, CASE WHEN pos IN (SELECT pos FROM kept) THEN pos ELSE owner END AS owner FROM own)"
+_STEEP = ", a AS (SELECT d FROM d UNION ALL SELECT d FROM d UNION ALL SELECT 0.0 FROM c), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM a), w AS (SELECT r, n, lead(d, 199) OVER (ORDER BY r) - d AS rise, avg(d) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING) AS m FROM r), t AS (SELECT m AS t FROM w WHERE r < n // 2 - 199 AND rise IS NOT NULL ORDER BY rise DESC, r LIMIT 1)"
+
 
 
 def center_distances(s, d):
@@ -416,6 +428,9 @@ SQL = {
     "center_distances": _C + "SELECT i, j, round(d, 6) AS d FROM d",
     "merge_threshold": _C + ", r AS (SELECT d, row_number() OVER (ORDER BY d, i, j) AS r, count(*) OVER () AS n FROM d) SELECT max(n) AS n_pairs, count(*) AS n_used, round(avg(d), 6) AS threshold FROM r WHERE r <= greatest(1, floor(n * 0.3))",
     "keep_first": _GREEDY + " SELECT c.pos, block_id, id FROM c JOIN kept USING (pos)",
+    "merge_average": _OWNED + ", l AS (SELECT owner, max(pos) AS last FROM ow WHERE pos <> owner GROUP BY 1), m AS (SELECT c.pos, unnest(range(0, len(c.center)))::INTEGER AS dim, unnest(c.center) AS x, unnest(coalesce(b.center, c.center)) AS y FROM ow JOIN c ON c.pos = ow.pos LEFT JOIN l ON l.owner = c.pos LEFT JOIN c b ON b.pos = l.last WHERE ow.pos = ow.owner) SELECT pos, dim, round((x + y) / 2, 6) AS x FROM m",
+    "merge_centroid": _OWNED + ", m AS (SELECT owner AS pos, unnest(range(0, len(center)))::INTEGER AS dim, unnest(center) AS x FROM ow JOIN c USING (pos)) SELECT pos, dim, round(avg(x), 6) AS x FROM m GROUP BY 1, 2",
+    "keep_first_fastest": _greedy("(SELECT t FROM t)", _STEEP) + " SELECT pos FROM kept",
     "center_counts": "WITH c AS (SELECT vec_id % 6 AS b, count(*) AS n FROM embeddings WHERE vec_id < 24 GROUP BY 1) SELECT sum(n)::BIGINT AS total, min(n) AS least, max(n) AS most, avg(n) AS mean FROM c",
     "cumulative_center_stats": _GREEDY + ", b AS (SELECT block_id, count(*) AS local_centers, count(kept.pos) AS k FROM c LEFT JOIN kept USING (pos) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY block_id) AS partitions, local_centers, sum(local_centers) OVER (ORDER BY block_id) AS total, sum(k) OVER (ORDER BY block_id) AS merged FROM b) SELECT partitions::INTEGER AS partitions, local_centers, total::BIGINT AS total, round(total / partitions)::BIGINT AS average, merged::BIGINT AS merged, round(merged / total, 6) AS ratio, round((1 - merged / total) * 100, 6) AS reduction FROM r",
     "batched_center_stats": _GREEDY + ", b AS (SELECT block_id, count(*) AS n, count(kept.pos) AS k FROM c LEFT JOIN kept USING (pos) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY block_id) AS partitions, sum(n) OVER (ORDER BY block_id) AS total, sum(k) OVER (ORDER BY block_id) AS merged, count(*) OVER () AS m FROM b) SELECT partitions::INTEGER AS partitions, total::BIGINT AS total, merged::BIGINT AS merged FROM r WHERE partitions % 4 = 0 OR partitions = m",
