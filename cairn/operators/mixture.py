@@ -185,18 +185,19 @@ def em_sums(profile: DataFrame, g: GammaMixture) -> DataFrame:
 def global_em(profile: DataFrame, start: GammaMixture, steps: int = 50, epsilon: float = 1e-6) -> GammaMixture:
     """EM over a DataFrame of any size; per step one row per component comes to the driver."""
     profile = profile.filter("dist > 0").select("dist").persist()
-    g, before = start, -math.inf
+    g, path = GammaMixture(start.weight, start.shape, start.scale), []
     try:
-        for _ in range(steps):
+        for step in range(steps + 1):
             fit = log_likelihood(profile, g, []).first()
-            g.loglik, g.aicc = float(fit["loglik"] or 0.0), aicc(float(fit["loglik"] or 0.0), g.m, fit["n"])
-            g.path = [*start.path, g.loglik] if g is start else g.path
-            if abs(g.loglik - before) < epsilon * max(1.0, abs(before)) or not fit["n"]:
+            if not fit["n"]:
+                break
+            g.loglik, g.aicc = float(fit["loglik"]), aicc(float(fit["loglik"]), g.m, fit["n"])
+            path.append(g.loglik)
+            if step == steps or len(path) > 1 and abs(path[-1] - path[-2]) < epsilon * max(1.0, abs(path[-2])):
                 break
-            before, path = g.loglik, [*g.path]
             rows = sorted((r for r in em_sums(profile, g).collect() if r["s0"] > 1e-8 * fit["n"]), key=lambda r: r["component"])
             g = maximised(*(np.array([r[k] for r in rows]) for k in ("s0", "s1", "s2")), n=fit["n"])
-            g.path = path
     finally:
         profile.unpersist()
+    g.path = path
     return g
