@@ -91,7 +91,7 @@ def test_aicc_and_window():
 def test_global_em_is_the_block_em(spark, gammas):
     f = spark.createDataFrame([(0, 0, i, float(x)) for i, x in enumerate(gammas)], "block_id int, observer_id int, id bigint, dist double")
     start = M.moments_start(gammas, 2)
-    g = M.global_em(f, start, steps=5, epsilon=0)
+    g = M.global_em(f, start, steps=4, epsilon=0)
     b = M.em(gammas, 2, epsilon=0, most=4)
     assert abs(g.loglik - b.loglik) < 1e-3 and np.abs(np.sort(g.shape) - np.sort(b.shape)).max() < 1e-3
 
