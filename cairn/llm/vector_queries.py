@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.markov import cluster_vectors, mean_directions
-from cairn.llm.neighbours import mutual_neighbours, usable
+from cairn.llm.markov import cluster_vectors, mean_directions, nearest_center
+from cairn.llm.neighbours import mutual_neighbours, nearest, usable
 from cairn.runtime import durable, latest, read_table
 
 #: The length of a usable vector of svd_100d_features.
@@ -69,15 +69,19 @@ def p2_clusters(spark: SparkSession, sf_dir: str, typical: int = 5) -> DataFrame
     rows = _with_labels(spark, sf_dir, own, members)
     means = mean_directions(members.join(own, "id").select(F.col("cluster").alias("label"), "v"), DIM).select(F.col("label").alias("cluster"), "size", "v")
     centers = read_table(spark, sf_dir, "mergedcentersfromallblocks").filter(usable(F.col("center_array"), DIM)).select("center_id", F.col("center_array").alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cos = dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("c"), F.col("c")))
-    # clusters (at most 1 / least share) against centers (one row each): two small tables by design
-    near = means.join(centers.hint("shuffle_replicate_nl")).groupBy("cluster").agg(F.max(F.struct(F.round(cos, 6).alias("cos"), (-F.col("center_id")).alias("k"))).alias("b"))
+    near = nearest_center(means, centers, DIM)
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("inflow").desc(), F.col("cos").desc(), "submission_id"))
     best = rows.withColumn("place", place).filter(F.col("place") <= typical).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "submission_id"))).alias("m"))
     labels = rows.groupBy("cluster").agg(F.max("majority").alias("cluster_label"))
-    return means.join(near, "cluster", "left").join(best, "cluster").join(labels, "cluster").select("cluster", "size", "cluster_label", (-F.col("b.k")).cast("int").alias("center_id"), F.col("b.cos").alias("center_cos"), F.transform("m", lambda x: x["submission_id"]).alias("typical_members"))
+    return means.join(near, "cluster", "left").join(best, "cluster").join(labels, "cluster").select("cluster", "size", "cluster_label", "center_id", "center_cos", F.transform("m", lambda x: x["submission_id"]).alias("typical_members"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_pairs": p4_pairs}
+def p4_neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The ``k`` most similar vectors of all for every submission whose id is divisible by 20."""
+    every = named_vectors(spark, sf_dir)
+    asked = submission_vectors(spark, sf_dir).filter(F.col("submission_id").try_cast("bigint") % 20 == 0).select(F.concat(F.lit("s"), "submission_id").alias("name"), "v")
+    return nearest(every, asked, DIM, k)
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_neighbours": p4_neighbours}
 SQL: dict[str, str] = {}
