@@ -16,6 +16,8 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.runtime import numbered
+
 
 def hash_number(*parts: Column | str | int) -> Column:
     """A 32-bit number from the md5 of the parts' text, joined by colons."""
@@ -32,8 +34,7 @@ def with_block(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def file_blocks(df: DataFrame, path: Column) -> DataFrame:
     """``df`` with ``block_id`` counting its files in order of their paths."""
-    files = df.select(path.alias("__path")).distinct()
-    order = files.withColumn("block_id", F.row_number().over(Window.orderBy("__path")) - 1)
+    order = numbered(df.select(path.alias("__path")).distinct(), ["__path"], "block_id")
     return df.withColumn("__path", path).join(order, "__path").drop("__path")
 
 

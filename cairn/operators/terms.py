@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.runtime import numbered
+
 
 def document_frequency(entries: DataFrame) -> DataFrame:
     """term_index, doc_freq: documents with a non-zero entry."""
@@ -91,7 +93,7 @@ def valid_terms(entries: DataFrame, min_df: int, max_df: int, min_variance: floa
     x = F.col("value")
     s = entries.filter("value <> 0").groupBy("term_index").agg(F.count_distinct("doc_id").alias("doc_freq"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.lit(1)).alias("n"))
     ok = s.select("term_index", "doc_freq", sample_variance(F.col("s"), F.col("q"), F.col("n")).alias("variance")).filter(F.col("doc_freq").between(min_df, max_df) & (F.col("variance") >= min_variance))
-    return ok.withColumn("new_index", (F.row_number().over(Window.orderBy("term_index")) - 1).cast("int")).select("term_index", "new_index", "doc_freq", "variance")
+    return numbered(ok, ["term_index"], "new_index").select("term_index", "new_index", "doc_freq", "variance")
 
 
 def valid_terms_by_ratio(entries: DataFrame, min_df: int, max_ratio: float, min_variance: float, documents: int) -> DataFrame:
@@ -132,14 +134,14 @@ def term_filter(entries: DataFrame, min_df: int, min_variance: float, max_df: in
 def alphabetical_dictionary(words: DataFrame, column: str = "original_word") -> DataFrame:
     """term_index, word: the distinct words numbered from 0 in order; null is no word."""
     w = words.filter(F.col(column).isNotNull()).select(F.col(column)).distinct()
-    return w.withColumn("term_index", (F.row_number().over(Window.orderBy(column)) - 1).cast("int")).select("term_index", column)
+    return numbered(w, [column], "term_index").select("term_index", column)
 
 
 def code_dictionary(codes: DataFrame, word: str = "original_word", code: str = "term_code") -> DataFrame:
     """term_index, word, code: distinct pairs numbered from 0 by the number in the code, then by word."""
     d = codes.filter(F.col(word).isNotNull() & F.col(code).isNotNull()).select(word, code).distinct()
     number = F.substring(code, 2, 20).try_cast("bigint")
-    return d.withColumn("term_index", (F.row_number().over(Window.orderBy(number.asc_nulls_last(), code, word)) - 1).cast("int")).select("term_index", word, code)
+    return numbered(d, [number, code, word], "term_index").select("term_index", word, code)
 
 
 def wide_to_entries(chunks: Sequence[tuple[DataFrame, str]], dictionary: DataFrame, word: str = "original_word") -> DataFrame:

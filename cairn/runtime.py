@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,23 @@ def latest(df: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFr
     return df.groupBy(*keys).agg(*(F.max_by(F.col(v), when).alias(v) for v in values))
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2, ... in ``order`` (which should be unique), without one task holding all rows.
+
+    Rows are range-partitioned and sorted, numbered within their partition, and
+    the partitions' sizes (one row each) give the offsets.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = df.select("*", *(c.alias(f"__o{i}") for i, c in enumerate(columns)))
+    keys = [F.col(f"__o{i}").asc_nulls_last() for i in range(len(columns))]
+    placed = durable(keyed.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()))
+    within = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__b"))
+    out = within.join(offsets, "__p").withColumn(name, (F.col("__b") + F.col("__r") - 1).cast("int"))
+    return out.drop("__p", "__r", "__b", *(f"__o{i}" for i in range(len(columns))))
+
+
 def same(a: Column, b: Column) -> Column:
     """Null-safe equality."""
     return a.eqNullSafe(b)

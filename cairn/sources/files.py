@@ -52,7 +52,7 @@ def read_block_folder(spark: SparkSession, folder: str) -> DataFrame:
     files = sorted(x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path) if x.getPath().getName().lower().endswith(".csv"))
     numbered = spark.createDataFrame([(n, i) for i, n in enumerate(files)], "name string, block_id int")
     rows = read_matrix(spark, f"{folder.rstrip('/')}/*.csv", strict=False).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return rows.join(F.broadcast(numbered), "name").select("block_id", "v")  # one row per file of the folder
+    return rows.join(numbered, "name").select("block_id", "v")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

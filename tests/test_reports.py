@@ -117,3 +117,12 @@ def test_files(spark, tmp_path):
     assert S.read_parquet(spark, f"file://{tmp_path}/flat").count() == 2
     S.write_parquet(spark.range(4), f"file://{tmp_path}/one", single_file=True)
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
+
+
+def test_numbering_is_global(spark):
+    from cairn.runtime import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
+    got = {r["k"]: r["n"] for r in numbered(df, ["k"], "n").collect()}
+    assert got == {k: k for k in range(1000)} and numbered(df.limit(0), ["k"], "n").count() == 0
+    assert numbered(spark.createDataFrame([(None,), ("b",), ("a",)], "k string"), ["k"], "n").orderBy("n").first()["k"] == "a"
