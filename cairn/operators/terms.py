@@ -183,6 +183,12 @@ def length_summary(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("documents"), F.avg("n_terms").alias("mean"), F.stddev_samp("n_terms").alias("stddev"), F.min("n_terms").alias("least"), F.max("n_terms").alias("most"))
 
 
+def vocabulary_size(documents: DataFrame, size: Column) -> int:
+    """The size of the first document's vector; 0 without documents."""
+    row = documents.select(size.alias("n")).filter("n is not null").first()
+    return int(row["n"]) if row else 0
+
+
 def density_percent(lengths: DataFrame, size: int) -> DataFrame:
     """doc_id, n_terms, density in percent of ``size``."""
     return lengths.withColumn("density", F.col("n_terms") * 100.0 / float(size))

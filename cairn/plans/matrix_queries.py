@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import vectors as V
 from cairn.operators import blocks as B
 from cairn.operators import evaluate as E
+from cairn.operators import kmeans as K
 from cairn.operators import reduce as R
 from cairn.operators import terms as T
 from cairn.plans import pipelines
@@ -265,6 +266,43 @@ def synthetic_blocks(s, d):
     return B.with_block(g, "id", 5).groupBy("block_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def corpus_report(s, d):
+    """The summary of the document lengths, beside the code of the corpus' first term."""
+    top, lengths = pipelines.corpus_report(entries(s, d), documents(s, d), read_table(s, d, "valid_terms"))
+    return lengths.select("documents", *r6("mean", "stddev"), "least", "most").withColumn("first_term", F.lit(top.filter("term_rank = 1").first()["term_code"]))
+
+
+def term_filter_report(s, d):
+    kept, valid = pipelines.term_filter_report(durable(entries(s, d)), read_table(s, d, "valid_terms"), MIN_DF, RATIO)
+    return valid.select("term_index", "new_index", "original_word", "doc_freq")
+
+
+def seeded_kmeans_report(s, d):
+    """Size and share of the clusters that k-means from the stored merged centers finds."""
+    c = read_table(s, d, "mergedcentersfromallblocks").filter("center_array is not null")
+    start = K.center_matrix(c.select("center_id", F.col("center_array").alias("center")), order=["center_id"])
+    v = latest(read_table(s, d, "data_normalized_svd"), ["submission_id"], "loaded_at", ["svd_100d_features"]).filter(F.size("svd_100d_features") == start.shape[1])
+    p = durable(v.select(F.xxhash64("submission_id").alias("id"), F.col("svd_100d_features").alias("v")))
+    _, sizes, cost = pipelines.seeded_kmeans_report(p, start, 5)
+    return sizes.select("label", "cluster_size", *r6("percent")).withColumn("cost", F.round(F.lit(cost), 6))
+
+
+def monthly_reconstruction(s, d):
+    """lineitem's numbers by month of shipping, as wide chunks put into one long table."""
+    t = read_table(s, d, "lineitem").withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    words = s.createDataFrame([(0, "l_discount"), (1, "l_tax")], "term_index int, original_word string")
+    month = lambda m: t.filter(F.date_format("l_shipdate", "yyyy-MM") == m)
+    months = [r["month"] for r in T.month_list("2000-01", "2000-03", s).orderBy("month").collect()]
+    out = pipelines.monthly_reconstruction(s, months, lambda m: [(month(m).select("key", "l_discount"), "key"), (month(m).select("key", "l_tax"), "key")], words)
+    return out.groupBy("month", "term_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def first_block_centers(s, d):
+    """Stored local centers of the first three blocks."""
+    t = read_table(s, d, "localcentersperpartition").groupBy("partition_id").agg(F.max("centers_list").alias("centers_list"))
+    return B.first_blocks(S.nested_centers(t).withColumnRenamed("partition_id", "block_id"), 3).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_centers"), F.max("center_index").alias("last"))
+
+
 def normalised_documents(s, d):
     """Filtered, normalised documents reduced to ten dimensions: sizes and norms per document."""
     kept, valid = T.term_filter(durable(entries(s, d)), MIN_DF, MIN_VAR, max_ratio=RATIO)
@@ -320,6 +358,7 @@ QUERIES = {
     "nested_centers": nested_centers, "stored_merge": stored_merge, "stored_merge_stats": stored_merge_stats, "streamed_merge": streamed_merge,
     "io_matrix": io_matrix, "io_block_folder": io_block_folder, "io_labels": io_labels, "io_partitioned": io_partitioned, "io_csv_report": io_csv_report, "io_exploded": io_exploded,
     "scatter_rows": scatter_rows, "synthetic_blocks": synthetic_blocks, "normalised_documents": normalised_documents, "flagship": flagship,
+    "corpus_report": corpus_report, "term_filter_report": term_filter_report, "seeded_kmeans_report": seeded_kmeans_report, "monthly_reconstruction": monthly_reconstruction, "first_block_centers": first_block_centers,
 }
 
 _SIG = "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {x}::DOUBLE)" for i, x in enumerate(SIGMA)) + ") AS t(k, s)), sc AS (SELECT k, s * s AS variance, s * s / sum(s * s) OVER () AS r, sum(s * s) OVER (ORDER BY k) / sum(s * s) OVER () AS c FROM s)"
@@ -371,6 +410,10 @@ SQL = {
     "stored_merge": _STORED + " SELECT c.pos, block_id, center_idx FROM c JOIN kept USING (pos)",
     "stored_merge_stats": _STORED + ", b AS (SELECT block_id, count(*) AS local_centers, count(kept.pos) AS k FROM c LEFT JOIN kept USING (pos) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY block_id) AS partitions, local_centers, sum(local_centers) OVER (ORDER BY block_id) AS total, sum(k) OVER (ORDER BY block_id) AS merged FROM b) SELECT partitions::INTEGER AS partitions, local_centers, total::BIGINT AS total, round(total / partitions)::BIGINT AS average, merged::BIGINT AS merged, round(merged / total, 6) AS ratio, round((1 - merged / total) * 100, 6) AS reduction FROM r",
     "streamed_merge": _STORED + " SELECT count(*) AS kept FROM kept",
+    "corpus_report": _LAB + ", x AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1), w AS (SELECT term_index, sum(value) AS s FROM e GROUP BY 1 ORDER BY s DESC, term_index LIMIT 1) SELECT count(*) AS documents, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS stddev, min(n) AS least, max(n) AS most, (SELECT coalesce(term_code, 'unknown_' || w.term_index) FROM w LEFT JOIN c USING (term_index)) AS first_term FROM x",
+    "term_filter_report": _RATIO + ", k AS (SELECT DISTINCT ON (term_index) term_index, original_word FROM valid_terms) SELECT v.term_index, new_index, original_word, doc_freq FROM v LEFT JOIN k ON v.term_index = k.term_index",
+    "monthly_reconstruction": "WITH t AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, l_discount, l_tax FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '2000-01' AND '2000-03'), u AS (SELECT month, k, 0 AS term_index, sum(l_discount) AS value FROM t GROUP BY 1, 2 UNION ALL SELECT month, k, 1, sum(l_tax) FROM t GROUP BY 1, 2) SELECT month, term_index, count(*) AS n, round(sum(value), 4) AS total FROM u WHERE value <> 0 GROUP BY 1, 2",
+    "first_block_centers": "SELECT partition_id AS block_id, len(any_value(centers_list)) AS n_centers, (len(any_value(centers_list)) - 1)::INTEGER AS last FROM localcentersperpartition WHERE partition_id < 3 GROUP BY 1",
     "io_matrix": "SELECT count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS first, round(sum(embedding[64]::DOUBLE), 4) AS last FROM embeddings",
     "io_labels": "SELECT label, count(*) AS n FROM embeddings GROUP BY 1",
     "io_partitioned": "SELECT vec_id AS id, 1::INTEGER AS block_id FROM embeddings WHERE ('0x' || substr(md5('0:' || vec_id), 1, 8))::UBIGINT % 4 = 1",
