@@ -11,11 +11,31 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context.
+
+    Workers unpickle functions by module name, and need not have the package on
+    their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cairn_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cairn-package-")) / "cairn_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._cairn_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data set in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
