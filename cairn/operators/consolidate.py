@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import euclidean, squared_distance
+from cairn.runtime import numbered
 
 #: More centers than this are refused: their pairs would no longer be a small result.
-MOST_CENTERS = 50_000
+MOST_CENTERS = 20_000
 
 
 def with_position(centers: DataFrame, order: list[str]) -> DataFrame:
@@ -45,20 +46,17 @@ def merge_threshold(centers: DataFrame, percentage: float) -> float | None:
     """
     if not 0 <= percentage <= 1:
         raise ValueError("the percentage must lie between 0 and 1")
-    d = center_distances(centers).select("d", "i", "j").persist()
-    try:
-        k = max(1, int(d.count() * percentage))
-        return d.orderBy("d", "i", "j").limit(k).agg(F.avg("d")).first()[0]
-    finally:
-        d.unpersist()
+    return threshold_table(centers, percentage).first()["threshold"]
 
 
 def threshold_table(centers: DataFrame, percentage: float) -> DataFrame:
-    """``merge_threshold`` as one row (n_pairs, n_used, threshold), without a driver step."""
-    d = center_distances(centers)
-    counted = d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("r", F.row_number().over(Window.orderBy("d", "i", "j")))
-    used = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(percentage)))
-    return counted.filter(F.col("r") <= used).agg(F.max("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_used"), F.avg("d").alias("threshold"))
+    """``merge_threshold`` as one row (n_pairs, n_used, threshold).
+
+    The pairs are numbered by range partitions, so no task sorts all of them.
+    """
+    d = numbered(center_distances(centers), ["d", "i", "j"], "r", "bigint")
+    n = d.groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return d.filter(F.col("r") < max(1, int(n * percentage))).agg(F.when(F.count(F.lit(1)) > 0, F.lit(n)).cast("bigint").alias("n_pairs"), F.count(F.lit(1)).alias("n_used"), F.avg("d").alias("threshold"))
 
 
 def greedy_kept(edges: list[tuple[int, int]], positions: list[int]) -> dict[int, int]:

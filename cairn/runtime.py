@@ -85,7 +85,7 @@ def latest(df: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFr
     return df.groupBy(*keys).agg(*(F.max_by(F.col(v), when).alias(v) for v in values))
 
 
-def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column | str], name: str, kind: str = "int") -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in ``order`` (which should be unique), without one task holding all rows.
 
     Rows are range-partitioned and sorted, numbered within their partition, and
@@ -98,7 +98,7 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     within = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__b"))
-    out = within.join(offsets, "__p").withColumn(name, (F.col("__b") + F.col("__r") - 1).cast("int"))
+    out = within.join(offsets, "__p").withColumn(name, (F.col("__b") + F.col("__r") - 1).cast(kind))
     return out.drop("__p", "__r", "__b", *(f"__o{i}" for i in range(len(columns))))
 
 
