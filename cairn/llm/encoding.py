@@ -187,25 +187,30 @@ def encode_texts(docs: DataFrame, text: str, keep: list[str], name: str = "byte_
     """``keep`` and ``ids`` (array of token ids, no special tokens) of every row.
 
     Null and empty texts have an empty list.  Strings that look like special
-    tokens are ordinary text.  Repeated rows stay repeated.  A clash of a kept
-    column with ``ids`` is an error.
+    tokens are ordinary text.  Repeated rows stay repeated.  Other columns of
+    ``docs`` are ignored; a kept column that is itself named ``ids`` becomes
+    ``ids_kept``.
     """
     short, long = _encoded(docs, text, keep, name, folder, leaf, reach, sizes=False)
-    return short.unionByName(long)
+    return short.unionByName(long).toDF(*_out_names(keep, "ids"))
 
 
 def token_sizes(docs: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF, reach: int = REACH) -> DataFrame:
     """``keep`` and ``n_tokens`` of every row: as ``encode_texts``, but only numbers leave the tasks."""
     short, long = _encoded(docs, text, keep, name, folder, leaf, reach, sizes=True)
-    return short.unionByName(long.select(*keep, F.size("ids").alias("n_tokens")))
+    counted = long.select(*long.columns[:-1], F.size("ids").alias("n_tokens"))
+    return short.unionByName(counted).toDF(*_out_names(keep, "n_tokens"))
+
+
+def _out_names(keep: list[str], own: str) -> list[str]:
+    return [*(f"{c}_kept" if c == own else c for c in keep), own]
 
 
 def _encoded(docs: DataFrame, text: str, keep: list[str], name: str, folder: str, leaf: int, reach: int, sizes: bool) -> tuple[DataFrame, DataFrame]:
     """The rows with short texts (ids, or their number) and those with long ones (ids)."""
-    if {"ids", "n_tokens", "__row", "__text", "__piece"} & set(keep):
-        raise ValueError("a kept column has a name that is taken: ids, n_tokens, __row, __text, __piece")
     ids_type = T.ArrayType(T.IntegerType())
-    kept = [docs.schema[k] for k in keep]
+    named, keep = keep, [f"__k{i}" for i in range(len(keep))]  # inside, no name can clash
+    kept = [T.StructField(k, docs.schema[c].dataType) for k, c in zip(keep, named)]
     out = T.StructType([*kept, T.StructField("ids", ids_type)])
     n = len(keep)
 
@@ -218,8 +223,8 @@ def _encoded(docs: DataFrame, text: str, keep: list[str], name: str, folder: str
                 last = pa.array([len(x) for x in found], pa.int32()) if sizes else _id_lists(list(found))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], last], names=[*keep, "n_tokens" if sizes else "ids"])
 
-    is_long = F.coalesce(F.length(text), F.lit(0)) > leaf
-    columns = [*keep, F.col(text).alias("__text")]
+    is_long = F.coalesce(F.length(F.col(text)), F.lit(0)) > leaf
+    columns = [*(F.col(c).alias(k) for k, c in zip(keep, named)), F.col(text).alias("__text")]
     counted = T.StructType([*kept, T.StructField("n_tokens", T.IntegerType())])
     short = docs.filter(~is_long).select(*columns).mapInArrow(encode, counted if sizes else out)
 

@@ -15,8 +15,12 @@ def top_items(items: DataFrame, groups: list[str], order: list[Column], n: int,
     """The first ``n`` rows of every group by ``order``, numbered from 1.
 
     ``order`` must end in a column that is unique within the group, or equal
-    rows are numbered arbitrarily among themselves.  Null keys form a group.
+    rows are numbered arbitrarily among themselves.  Null keys form a group.  A
+    column of ``items`` that is itself named ``rank`` becomes ``<rank>_kept``
+    (``order`` and ``groups`` then name it so).  Empty items give no rows.
     """
     if n < 1:
         raise ValueError("n must be positive")
+    if rank in items.columns:
+        items = items.withColumnRenamed(rank, f"{rank}_kept")
     return items.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col(rank) <= n)

@@ -5,7 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm.encoding import TOKENIZERS, TreeEncoder, encode_texts, tokenizer
+from pyspark.sql import functions as F
+
+from cairn.llm.encoding import TOKENIZERS, TreeEncoder, encode_texts, token_sizes, tokenizer
 
 WORDS = st.sampled_from(["a", "ab", "the", " ", "  ", "\n", "\r\n", "\t", "'", "'s", "'ll", "!", "==", "--", "1", "23", "é", "ß", "漢字", "🙂", "‍", "\xa0", "　", "\x1c", "<|endoftext|>", "x" * 9, "=" * 17, "7" * 11, " " * 13, "aB" * 8])
 TEXT = st.lists(WORDS, max_size=60).map("".join) | st.text(max_size=120)
@@ -45,8 +47,12 @@ def test_rows(spark):
     enc = tokenizer()
     assert got == sorted((a or 0, b or "", enc.encode_ordinary(t or "")) for a, b, t in rows)
     assert encode_texts(df.limit(0), "text", ["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        encode_texts(df.withColumnRenamed("ids_of", "ids"), "text", ["ids"])
+    clash = df.withColumnRenamed("ids_of", "ids").withColumnRenamed("doc_id", "__row")
+    same = encode_texts(clash, "text", ["__row", "ids"], leaf=256, reach=64)
+    assert same.columns == ["__row", "ids_kept", "ids"]
+    assert sorted((r["__row"] or 0, r["ids_kept"] or "", list(r["ids"])) for r in same.collect()) == got
+    sizes = token_sizes(clash.withColumn("n_tokens", F.lit(1)), "text", ["__row", "n_tokens"], leaf=256, reach=64)
+    assert sizes.columns == ["__row", "n_tokens_kept", "n_tokens"] and sorted(r["n_tokens"] for r in sizes.collect()) == sorted(len(g[2]) for g in got)
 
 
 def test_same_as_the_other_library():

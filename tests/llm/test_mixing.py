@@ -56,6 +56,17 @@ def test_unlabelled_documents_find_their_source(spark):
     assert len(right) >= 10 and np.mean(right) > 0.9
 
 
+def test_extra_columns_do_not_matter(spark):
+    from pyspark.sql import functions as F
+
+    rows, targets = make(spark)
+    extra = lambda df: df.select("*", *(F.lit("x").alias(c) for c in ("n_tokens", "ids", "p", "rate", "tokens", "place")))
+    report = mix(extra(spark.createDataFrame(rows[:60], DOCS)), extra(spark.createDataFrame(targets, TARGETS)))[1]
+    plain = mix(spark.createDataFrame(rows[:60], DOCS), spark.createDataFrame(targets, TARGETS))[1]
+    near = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert near(report) == near(plain)
+
+
 def test_empty(spark):
     docs, targets = spark.createDataFrame([], DOCS), spark.createDataFrame(make(spark)[1], TARGETS)
     plan, report = mix(docs, targets)

@@ -50,6 +50,9 @@ def test_top_items_ties_nulls(spark):
     assert {(r["g"], r["item_rank"], r["i"]) for r in got} == {("g", 1, 9), ("g", 2, 1), (None, 1, 1), ("h", 1, 1)}
     with pytest.raises(ValueError):
         top_items(spark.range(1), [], [], 0)
+    clash = spark.createDataFrame([("g", 7, 1)], "g string, item_rank int, i int")
+    assert top_items(clash, ["g"], [F.col("i")], 2).first().asDict() == {"g": "g", "item_rank_kept": 7, "i": 1, "item_rank": 1}
+    assert top_items(clash.limit(0), ["g"], [F.col("i")], 2).count() == 0
 
 
 def test_group_limit_before_and_after_the_shuffle(spark):
