@@ -60,7 +60,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Preferred to ``checkpoint()`` where the rows are used as columns later: one
@@ -68,7 +68,7 @@ def durable(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{uuid.uuid4().hex}"
-    (df.repartition(*by) if by else df).write.parquet(path)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

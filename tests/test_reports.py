@@ -126,3 +126,16 @@ def test_numbering_is_global(spark):
     got = {r["k"]: r["n"] for r in numbered(df, ["k"], "n").collect()}
     assert got == {k: k for k in range(1000)} and numbered(df.limit(0), ["k"], "n").count() == 0
     assert numbered(spark.createDataFrame([(None,), ("b",), ("a",)], "k string"), ["k"], "n").orderBy("n").first()["k"] == "a"
+
+
+def test_latest_rows(spark):
+    from datetime import datetime
+
+    from cairn.runtime import durable, latest
+
+    day = [datetime(2012, 1, d) for d in (1, 2, 3)]
+    rows = [("a", day[0], 1, [1.0]), ("a", day[2], 3, None), ("a", day[1], 2, [2.0]), ("b", None, 7, [7.0]), (None, day[0], 5, []), (None, day[1], 6, [6.0]), ("c", day[1], 4, [4.0]), ("c", day[1], 4, [4.0])]
+    df = spark.createDataFrame(rows, "k string, at timestamp, n int, v array<double>")
+    assert {r["k"]: (r["n"], r["v"]) for r in latest(df, ["k"], "at", ["n", "v"]).collect()} == {"a": (3, None), "b": (7, [7.0]), None: (6, [6.0]), "c": (4, [4.0])}
+    assert latest(df.limit(0), ["k"], "at", ["n"]).count() == 0
+    assert durable(df.limit(0)).schema == df.schema and durable(df).count() == 8
