@@ -31,7 +31,7 @@ def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_a, vec_b, cos of the mutual neighbours."""
-    return mutual_neighbours(named_vectors(spark, sf_dir), DIM)
+    return mutual_neighbours(named_vectors(spark, sf_dir), DIM).withColumn("cos", F.round("cos", 6))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,20 @@ def p4_neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_neighbours": p4_neighbours}
-SQL: dict[str, str] = {}
+#: All pairs: for the small data sets on which rows are compared, not a plan for large ones.
+_PAIRS = f"""
+WITH s AS (
+  SELECT 's' || submission_id AS name, svd_100d_features AS v FROM (
+    SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY loaded_at DESC) AS k FROM data_normalized_svd) WHERE k = 1),
+l AS (SELECT partition_id, max(centers_list) AS c FROM localcentersperpartition GROUP BY 1),
+u AS (
+  SELECT name, v FROM (
+    SELECT name, v FROM s UNION ALL SELECT 'c' || partition_id || '_' || unnest(range(0, len(c))), unnest(c) FROM l)
+  WHERE len(v) = {DIM} AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_max(list_transform(v, lambda x: abs(x))) > 0),
+p AS (
+  SELECT a.name AS x, b.name AS y, round(list_cosine_similarity(a.v, b.v), 9) AS cos
+  FROM u a JOIN u b ON a.name <> b.name AND list_cosine_similarity(a.v, b.v) >= 0.9499999),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) AS k FROM p WHERE cos >= 0.95) WHERE k <= 10),
+m AS (SELECT a.x AS vec_a, a.y AS vec_b, a.cos FROM r a JOIN r b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y)
+"""
+SQL = {"p4_found": _PAIRS + "SELECT vec_a, vec_b FROM m", "p4_pairs": _PAIRS + "SELECT vec_a, vec_b, round(cos, 6) AS cos FROM m"}
