@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import euclidean, squared_distance
-from cairn.runtime import numbered
+from cairn.runtime import durable, numbered
 
 #: More centers than this are refused: their pairs would no longer be a small result.
 MOST_CENTERS = 20_000
@@ -227,7 +227,7 @@ def density_peak_labels(peaks: DataFrame, delta: float, rho: float) -> DataFrame
     to = table.select("pos", "to")
     for _ in range(max(1, math.ceil(math.log2(max(2, n))))):
         step = to.select(F.col("pos").alias("to"), F.col("to").alias("next")).unionAll(spark.createDataFrame([(-1, -1)], "to int, next int"))
-        to = to.join(step, "to").select("pos", F.col("next").alias("to"))
+        to = durable(to.join(step, "to").select("pos", F.col("next").alias("to")))  # the plan would double with the pointers
     return table.select("pos", "is_center").join(to, "pos").select("pos", "is_center", F.col("to").alias("label"))
 
 

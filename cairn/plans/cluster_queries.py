@@ -436,6 +436,7 @@ SQL = {
     "batched_center_stats": _GREEDY + ", b AS (SELECT block_id, count(*) AS n, count(kept.pos) AS k FROM c LEFT JOIN kept USING (pos) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY block_id) AS partitions, sum(n) OVER (ORDER BY block_id) AS total, sum(k) OVER (ORDER BY block_id) AS merged, count(*) OVER () AS m FROM b) SELECT partitions::INTEGER AS partitions, total::BIGINT AS total, merged::BIGINT AS merged FROM r WHERE partitions % 4 = 0 OR partitions = m",
     "fastest_change_threshold": _C + ", a AS (SELECT d FROM d UNION ALL SELECT d FROM d UNION ALL SELECT 0.0 FROM c), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM a), w AS (SELECT r, n, lead(d, 199) OVER (ORDER BY r) - d AS rise, avg(d) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING) AS m FROM r), b AS (SELECT * FROM w WHERE r < n // 2 - 199 AND rise IS NOT NULL ORDER BY rise DESC, r LIMIT 1) SELECT (SELECT max(n) FROM w) AS n_entries, r::INTEGER AS start, round(m, 6) AS threshold FROM b",
     "density_rho_delta": _D2 + " SELECT pos, rho, round(delta, 6) AS delta, nearest FROM dp",
+    "density_labels": _D2.replace("WITH c AS", "WITH RECURSIVE c AS") + ", ce AS (SELECT *, delta >= 0.5 AND rho >= 3 AS is_center FROM dp), w(pos, cur) AS (SELECT pos, pos FROM ce UNION ALL SELECT w.pos, ce.nearest FROM w JOIN ce ON ce.pos = w.cur WHERE NOT is_center AND nearest IS NOT NULL), l AS (SELECT w.pos, max(CASE WHEN ce.is_center THEN w.cur END) AS label FROM w JOIN ce ON ce.pos = w.cur GROUP BY 1) SELECT ce.pos, is_center, coalesce(label, -1)::INTEGER AS label FROM ce JOIN l ON l.pos = ce.pos",
     "label_means": "SELECT label, dim::INTEGER AS dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) GROUP BY 1, 2",
     "kmeans_assign": _A0 + "SELECT id, label, round(d2, 6) AS dist2 FROM a0",
     "kmeans_three_rounds": _A3 + "SELECT id, label, round(d2, 6) AS dist2 FROM a3",
