@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -190,6 +191,13 @@ def centers(s, d) -> DataFrame:
     return C.with_position(p, ["block_id", "id"])
 
 
+def stored_centers(s, d) -> DataFrame:
+    """All stored local centers: one list per partition (a repeated row counts once), in the order of the lists."""
+    t = read_table(s, d, "localcentersperpartition").groupBy("partition_id").agg(F.max("centers_list").alias("centers_list"))
+    flat = t.select(F.col("partition_id").alias("block_id"), F.posexplode("centers_list").alias("id", "center")).filter("center is not null")
+    return C.with_position(flat, ["block_id", "id"])
+
+
 _C = f"WITH c AS (SELECT (row_number() OVER (ORDER BY vec_id % 6, vec_id) - 1)::INTEGER AS pos, (vec_id % 6)::INTEGER AS block_id, vec_id AS id, embedding::DOUBLE[] AS center FROM embeddings WHERE vec_id < {N_CENTERS}), d AS (SELECT a.pos AS i, b.pos AS j, list_distance(a.center, b.center) AS d FROM c a JOIN c b ON a.pos < b.pos)"
 THRESHOLD = 1.25
 
@@ -215,67 +223,67 @@ _STEEP = ", a AS (SELECT d FROM d UNION ALL SELECT d FROM d UNION ALL SELECT 0.0
 
 
 
-def center_distances(s, d):
-    return C.center_distances(centers(s, d)).select("i", "j", *r6("d"))
+def center_distances(s, d, of=centers):
+    return C.center_distances(of(s, d)).select("i", "j", *r6("d"))
 
 
-def merge_threshold(s, d):
-    return C.threshold_table(centers(s, d), 0.3).select("n_pairs", "n_used", *r6("threshold"))
+def merge_threshold(s, d, of=centers):
+    return C.threshold_table(of(s, d), 0.3).select("n_pairs", "n_used", *r6("threshold"))
 
 
-def keep_first(s, d):
-    return C.keep_first(centers(s, d), THRESHOLD).select("pos", "block_id", "id")
+def keep_first(s, d, of=centers):
+    return C.keep_first(of(s, d), THRESHOLD).select("pos", "block_id", "id")
 
 
-def merge_average(s, d):
-    return C.merge_average(centers(s, d), 0.3).select("pos", F.posexplode("center").alias("dim", "x")).select("pos", "dim", *r6("x"))
+def merge_average(s, d, of=centers):
+    return C.merge_average(of(s, d), 0.3).select("pos", F.posexplode("center").alias("dim", "x")).select("pos", "dim", *r6("x"))
 
 
-def merge_centroid(s, d):
-    return C.merge_average(centers(s, d), 0.3, "centroid").select("pos", F.posexplode("center").alias("dim", "x")).select("pos", "dim", *r6("x"))
+def merge_centroid(s, d, of=centers):
+    return C.merge_average(of(s, d), 0.3, "centroid").select("pos", F.posexplode("center").alias("dim", "x")).select("pos", "dim", *r6("x"))
 
 
-def steepest_threshold(s, d):
-    return C.steepest_threshold(centers(s, d)).select("n_entries", "start", *r6("threshold"))
+def steepest_threshold(s, d, of=centers):
+    return C.steepest_threshold(of(s, d)).select("n_entries", "start", *r6("threshold"))
 
 
-def keep_first_steepest(s, d):
-    return C.keep_first_steepest(centers(s, d)).select("pos")
+def keep_first_steepest(s, d, of=centers):
+    return C.keep_first_steepest(of(s, d)).select("pos")
 
 
-def center_counts(s, d):
-    return C.center_statistics(B.block_sizes(centers(s, d)).withColumnRenamed("n_rows", "n"))
+def center_counts(s, d, of=centers):
+    return C.center_statistics(B.block_sizes(of(s, d)).withColumnRenamed("n_rows", "n"))
 
 
-def cumulative_center_stats(s, d):
-    return C.cumulative_statistics(centers(s, d), THRESHOLD).select("partitions", "local_centers", "total", "average", "merged", *r6("ratio", "reduction"))
+def cumulative_center_stats(s, d, of=centers):
+    return C.cumulative_statistics(of(s, d), THRESHOLD).select("partitions", "local_centers", "total", "average", "merged", *r6("ratio", "reduction"))
 
 
-def batched_center_stats(s, d):
-    return C.cumulative_statistics(centers(s, d), THRESHOLD, 4).select("partitions", "total", "merged")
+def batched_center_stats(s, d, of=centers):
+    return C.cumulative_statistics(of(s, d), THRESHOLD, 4).select("partitions", "total", "merged")
 
 
 DC = 0.5
 
 
-def density_rho_delta(s, d):
-    c = centers(s, d)
+def density_rho_delta(s, d, of=centers):
+    c = of(s, d)
     return C.density_peaks_table(c, C.kernel_distances(c), DC).select("pos", "rho", *r6("delta"), "nearest")
 
 
-def density_labels(s, d):
-    c = centers(s, d)
+def density_labels(s, d, of=centers):
+    c = of(s, d)
     return C.density_peak_labels(C.density_peaks_table(c, C.kernel_distances(c), DC), 0.5, 3)
 
 
 def density_cut_off(s, d):
-    c = centers(s, d)
-    x = C.kernel_distances(c)
+    c = stored_centers(s, d)
+    x = durable(C.kernel_distances(c))  # counted in every step of the bisection
     return s.createDataFrame([(C.cut_off(x, c.count()),)], "dc double").select(*r6("dc"))
 
 
 def spectral_centers(s, d):
-    return C.spectral_labels(centers(s, d), small=5.0)
+    return C.spectral_labels(stored_centers(s, d), small=5.0)
 
 
 def label_means(s, d):
@@ -372,6 +380,12 @@ _A3 = _A0 + _move_sql("c1", "a0", "c0") + _assign_sql("a1", "c1") + _move_sql("c
 _PAIRS = _A0 + ", t AS (SELECT a0.label AS cluster, p.label AS truth FROM a0 JOIN p USING (id))"
 _D2 = _C + f", e AS (SELECT i, j, 1 - exp(-d * d / 2) AS d FROM d), b AS (SELECT i AS pos, j AS other, d FROM e UNION ALL SELECT j, i, d FROM e), rho AS (SELECT c.pos, count(b.pos) AS rho FROM c LEFT JOIN b ON b.pos = c.pos AND b.d < {DC} GROUP BY 1), near AS (SELECT b.pos, min(b.d) AS delta, arg_min(b.other, b.d) AS nearest FROM b JOIN rho x ON x.pos = b.pos JOIN rho y ON y.pos = b.other WHERE y.rho > x.rho OR (y.rho = x.rho AND y.pos < x.pos) GROUP BY 1), dp AS (SELECT rho.pos, rho, coalesce(delta, (SELECT max(d) FROM e)) AS delta, nearest FROM rho LEFT JOIN near USING (pos))"
 
+#: Consolidation queries whose SQL is bound to the 24 vectors of ``centers``; each also runs on all stored centers, as stored_<name>.
+CONSOLIDATION = {
+    "center_distances": center_distances, "merge_threshold": merge_threshold, "keep_first": keep_first, "merge_average": merge_average, "merge_centroid": merge_centroid, "fastest_change_threshold": steepest_threshold, "keep_first_fastest": keep_first_steepest,
+    "center_counts": center_counts, "cumulative_center_stats": cumulative_center_stats, "batched_center_stats": batched_center_stats, "density_rho_delta": density_rho_delta, "density_labels": density_labels,
+}
+
 QUERIES = {
     "feature_cast": lambda s, d: points(s, d).select("id", F.posexplode("v").alias("pos", "x")).select("id", "pos", *r6("x")),
     "vector_profile": lambda s, d: E.vector_profile((lambda t: t.select(V.vector_kind(t, "embedding").alias("kind"), V.vector_size(t, "embedding").alias("size")))(read_table(s, d, "embeddings"))),
@@ -386,9 +400,8 @@ QUERIES = {
     "kde_values": kde_values, "kde_peaks": kde_peaks, "component_count": component_count, "search_windows": search_windows,
     "gamma_density": gamma_density, "gamma_classify": gamma_classify, "component_sizes": component_sizes, "mixture_loglik": mixture_loglik, "mixture_aicc": mixture_aicc, "gamma_em_step": gamma_em_step, "gamma_em_global": gamma_em_global, "densest_under_gamma": densest_under_gamma,
     "knn_density": knn_density, "density_peak_center": density_peak_center, "local_models": local_model_table, "local_centers": local_center_table, "local_centers_sequential": local_center_sequential, "best_observer": best_observer_centers, "two_layer_check": two_layers,
-    "center_distances": center_distances, "merge_threshold": merge_threshold, "keep_first": keep_first, "merge_average": merge_average, "merge_centroid": merge_centroid, "fastest_change_threshold": steepest_threshold, "keep_first_fastest": keep_first_steepest,
-    "center_counts": center_counts, "cumulative_center_stats": cumulative_center_stats, "batched_center_stats": batched_center_stats,
-    "density_rho_delta": density_rho_delta, "density_labels": density_labels, "density_cut_off": density_cut_off, "spectral_labels": spectral_centers, "label_means": label_means,
+    **CONSOLIDATION, **{f"stored_{n}": partial(q, of=stored_centers) for n, q in CONSOLIDATION.items()},
+    "density_cut_off": density_cut_off, "spectral_labels": spectral_centers, "label_means": label_means,
     "kmeans_assign": kmeans_assign, "kmeans_three_rounds": kmeans_three_rounds, "kmeans_cost": kmeans_cost, "kmeans_counts": kmeans_counts, "kmeans_library": kmeans_library,
     "purity": purity, "adjusted_rand": adjusted_rand, "run_stats": run_stats, "cluster_distribution": cluster_distribution, "cluster_extremes": cluster_extremes, "cluster_means": cluster_means,
     **{f"pipeline_{n}": pipeline_variant(n) for n in pipelines.VARIANTS if n not in ("peaks_only", "two_merges_grid", "text_two_blocks", "text_one_node")},
@@ -449,3 +462,10 @@ SQL = {
     "cluster_extremes": _A0 + ", n AS (SELECT label, count(*) AS n FROM a0 GROUP BY 1) SELECT (SELECT label FROM n ORDER BY n DESC, label LIMIT 1) AS largest, max(n) AS most, (SELECT label FROM n ORDER BY n, label LIMIT 1) AS smallest, min(n) AS least, round(sum(n) / 8, 6) AS mean_size, round(max(n) / min(n), 6) AS ratio, max(n) / min(n) > 5 AS imbalanced FROM n",
     "cluster_means": "WITH n AS (SELECT label, count(*) AS cluster_size FROM embeddings GROUP BY 1) SELECT label, cluster_size, dim::INTEGER AS dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) JOIN n USING (label) GROUP BY 1, 2, 3",
 }
+
+#: The centers of the SQL above, and all stored ones in their place.
+_FEW = _C[_C.index("c AS (") : _C.index(", d AS (")]
+_ALL = "c AS (SELECT (row_number() OVER (ORDER BY partition_id, idx) - 1)::INTEGER AS pos, partition_id AS block_id, idx::INTEGER AS id, center FROM (SELECT partition_id, unnest(l) AS center, unnest(range(0, len(l))) AS idx FROM (SELECT partition_id, max(centers_list) AS l FROM localcentersperpartition GROUP BY 1)) WHERE center IS NOT NULL)"
+SQL |= {f"stored_{n}": SQL[n].replace(_FEW, _ALL) for n in CONSOLIDATION}
+SQL["stored_center_counts"] = f"WITH {_ALL}, n AS (SELECT block_id, count(*) AS n FROM c GROUP BY 1) SELECT sum(n)::BIGINT AS total, min(n) AS least, max(n) AS most, avg(n) AS mean FROM n"
+SQL["stored_fastest_change_threshold"] = SQL["stored_fastest_change_threshold"].replace(" FROM b", " FROM (SELECT 1) LEFT JOIN b ON true")  # few centers have no threshold
