@@ -124,7 +124,7 @@ def grid_observers(points: DataFrame, n: int, dim: int, seed: int = 0) -> DataFr
     steps = max(2, math.ceil(round(n ** (1 / dim), 9)))
     ends = points.groupBy("block_id").agg(*(f(F.get("v", F.lit(d))).alias(f"{e}{d}") for d in range(dim) for e, f in (("lo", F.min), ("hi", F.max))))
     cells = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(n, steps**dim) - 1))).alias("k"))
-    digit = lambda d: F.floor(F.col("k") / (steps ** (dim - 1 - d))) % steps
+    digit = lambda d: F.floor(F.col("k") / min(steps ** (dim - 1 - d), 2**62)) % steps
     at = F.array(*(F.col(f"lo{d}") + (F.col(f"hi{d}") - F.col(f"lo{d}")) * digit(d) / float(steps - 1) for d in range(dim)))
     grid = cells.select("block_id", "k", at.alias("observer_v")).groupBy("block_id", "observer_v").agg(F.min("k").alias("k"))
     order = Window.partitionBy("block_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"))), "k")

@@ -18,6 +18,7 @@ from cairn.operators import evaluate as E
 from cairn.operators import kmeans as K
 from cairn.operators import mixture as M
 from cairn.operators import profile as P
+from cairn.operators import reduce as R
 from cairn.operators.fit import best_observer, local_centers, local_models, two_layer_check
 from cairn.plans import pipelines
 from cairn.runtime import durable, read_table
@@ -351,8 +352,10 @@ def cluster_means(s, d):
 
 def pipeline_variant(name: str, **changes):
     def query(s, d):
-        small = {"n_blocks": 2, "use_blocks": 2, "n_observers": 2, "knn": 5, **changes} if pipelines.VARIANTS[name].local else changes
-        out = pipelines.variant(points(s, d).select("id", "v"), name, **small)
+        p = points(s, d).select("id", "v")
+        if name.startswith("text_"):  # these begin with a reduction to ten dimensions
+            p = durable(R.project(p, *R.singular_values(p, 10)).withColumnRenamed("u", "v"))
+        out = pipelines.variant(p, name, **changes)
         n = out.centers.agg(F.count(F.lit(1)).alias("global_centers"))
         return n.withColumn("local_centers", F.lit(out.local.count())).withColumn("cost", F.lit(out.cost))
 
@@ -404,7 +407,7 @@ QUERIES = {
     "density_cut_off": density_cut_off, "spectral_labels": spectral_centers, "label_means": label_means,
     "kmeans_assign": kmeans_assign, "kmeans_three_rounds": kmeans_three_rounds, "kmeans_cost": kmeans_cost, "kmeans_counts": kmeans_counts, "kmeans_library": kmeans_library,
     "purity": purity, "adjusted_rand": adjusted_rand, "run_stats": run_stats, "cluster_distribution": cluster_distribution, "cluster_extremes": cluster_extremes, "cluster_means": cluster_means,
-    **{f"pipeline_{n}": pipeline_variant(n) for n in pipelines.VARIANTS if n not in ("peaks_only", "two_merges_grid", "text_two_blocks", "text_one_node")},
+    **{f"pipeline_{n}": pipeline_variant(n) for n in pipelines.VARIANTS},
 }
 
 _AT = "block_id, observer_id"
