@@ -12,7 +12,8 @@ Two vectors meet if either visits a bucket of the other.  Meetings are thinned
 by sign sketches carried in the rows (192 bits, Hamming distance within 4.5
 standard deviations of what ``least_cos`` gives), and what is left is measured
 exactly.  The number of projections grows with the logarithm of the number of
-vectors, so that the buckets of a dense region don't grow with the data.
+vectors, so that the buckets of a dense region don't grow with the data, and the
+number of tables with it, so that recall at ``least_cos`` stays at 0.99.
 
 Exact copies are one class and hash once; a class of a million copies costs one
 vector.  No pair of copies is built beyond the ten that a list can hold.
@@ -117,12 +118,37 @@ def hashes_for(n: int, width: float = 2.0, dense_cos: float = 0.62) -> int:
     return min(64, max(12, math.ceil(math.log(max(n, 2)) / -math.log(chance))))
 
 
-def close_pairs(vectors: DataFrame, dim: int, least_cos: float, tables: int = 10, probes: int = 15, width: float = 2.0) -> DataFrame:
+def table_recall(dim: int, hashes: int, width: float, probes: int, cos: float, pairs: int = 600, trials: int = 40, seed: int = 22) -> float:
+    """The share of pairs at ``cos`` that one table brings together, measured on ``pairs`` random pairs in ``trials`` tables."""
+    h = StableHashes(dim, trials, hashes, width, probes, seed)
+    rng = np.random.default_rng(seed)
+    a, e = rng.standard_normal((2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    e -= (e * a).sum(1)[:, None] * a
+    e /= np.maximum(np.linalg.norm(e, axis=1), 1e-300)[:, None]
+    (ka, va), (kb, vb) = h.keys(a), h.keys(cos * a + math.sqrt(max(0.0, 1 - cos * cos)) * e)
+    return float(((ka == kb) | (va == kb[:, :, None]).any(2) | (vb == ka[:, :, None]).any(2)).mean())
+
+
+def tables_for(dim: int, hashes: int, width: float, probes: int, cos: float, recall: float = 0.99) -> int:
+    """Tables (ten at least) that together find ``recall`` of the pairs at ``cos``: more projections a table need more of them.
+
+    Tables are independent of each other, so the pairs that all miss are a power
+    of those that one misses.
+    """
+    p = table_recall(dim, hashes, width, probes, cos)
+    if not p:
+        raise ValueError("one table finds no pair at this cosine")
+    return 10 if p >= 1 else max(10, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+
+
+def close_pairs(vectors: DataFrame, dim: int, least_cos: float, tables: int | None = None, probes: int = 15, width: float = 2.0) -> DataFrame:
     """a < b, cos of the pairs of ``vectors`` (id bigint, v array<double>) with cos >= ``least_cos``.
 
     ``vectors`` holds usable, pairwise different directions with unique ids.
     """
-    h = StableHashes(dim, tables, hashes_for(vectors.count(), width), width, probes)
+    hashes = hashes_for(vectors.count(), width)
+    h = StableHashes(dim, tables or tables_for(dim, hashes, width, probes, least_cos), hashes, width, probes)
     share = math.acos(least_cos) / math.pi
     bits = 64 * WORDS
     most = math.ceil(bits * share + 4.5 * math.sqrt(bits * share * (1 - share)))
