@@ -125,7 +125,7 @@ def svd_projection(s, d):
 
 
 def rank_and_elbows(s, d):
-    rank, elbow = pipelines.rank_report(points(s, d), 32)
+    rank, elbow = pipelines.rank_report(points(s, d))
     r = rank.first()
     return elbow.withColumn("k", F.lit(r["k"])).withColumn("reached", F.round(F.lit(r["reached"]), 6))
 
