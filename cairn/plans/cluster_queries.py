@@ -163,7 +163,7 @@ def density_peak_center(s, d):
 
 def _models(s, d, **how):
     p = durable(blocked(s, d).select("block_id", "id", "v"))
-    return local_models(p, B.sample_observers(p, OBSERVERS), KNN, delta=2, **how)
+    return local_models(p, B.sample_observers(p, OBSERVERS), KNN, **how)
 
 
 def local_model_table(s, d):
@@ -314,7 +314,7 @@ def kmeans_counts(s, d):
 
 
 def kmeans_library(s, d):
-    c = K.library_kmeans(points(s, d), _start(s, d), 10)
+    c = K.library_kmeans(points(s, d), _start(s, d))
     return K.assign_centers(points(s, d), c).select("id", "label", *r6("dist2"))
 
 

@@ -283,7 +283,7 @@ def seeded_kmeans_report(s, d):
     start = K.center_matrix(c.select("center_id", F.col("center_array").alias("center")), order=["center_id"])
     v = latest(read_table(s, d, "data_normalized_svd"), ["submission_id"], "loaded_at", ["svd_100d_features"]).filter(F.size("svd_100d_features") == start.shape[1])
     p = durable(v.select(F.xxhash64("submission_id").alias("id"), F.col("svd_100d_features").alias("v")))
-    _, sizes, cost = pipelines.seeded_kmeans_report(p, start, 5)
+    _, sizes, cost = pipelines.seeded_kmeans_report(p, start)
     return sizes.select("label", "cluster_size", *r6("percent")).withColumn("cost", F.round(F.lit(cost), 6))
 
 
