@@ -9,6 +9,7 @@ of the whole chain.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -42,9 +43,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session; a temporary one only where none is set and all tasks run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -70,7 +73,17 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cairn/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that ``durable`` made and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_cairn_path", None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def latest(df: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
