@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.markov import cluster_vectors, mean_directions, nearest_center
+from cairn.llm.markov import Clusters, cluster_vectors, nearest_center
 from cairn.llm.neighbours import mutual_neighbours, nearest, usable
 from cairn.runtime import durable, latest, read_table
 
@@ -38,23 +38,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select("vec_a", "vec_b")
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(submission_id, id, v of the usable vectors; id, cluster, cos, inflow of the members)."""
-    own = durable(submission_vectors(spark, sf_dir).filter(usable(F.col("v"), DIM)).select("submission_id", F.xxhash64("submission_id").alias("id"), "v"))
-    return own, durable(cluster_vectors(own, DIM))
+def clusters(spark: SparkSession, sf_dir: str) -> Clusters:
+    """The Markov clusters of the usable vectors; members by submission_id."""
+    own = durable(submission_vectors(spark, sf_dir).filter(usable(F.col("v"), DIM)).select(F.col("submission_id").alias("id"), "v"))
+    return cluster_vectors(own, DIM)
 
 
-def _with_labels(spark: SparkSession, sf_dir: str, own: DataFrame, members: DataFrame) -> DataFrame:
-    """submission_id, cluster, cos, inflow, cluster_label (stated), majority (label most of the cluster carry)."""
+def _with_labels(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """submission_id, cluster, cos, inflow, cluster_label (stated), majority (label most of the cluster carry, the smaller at a tie)."""
     stated = latest(read_table(spark, sf_dir, "predictions"), ["submission_id"], "loaded_at", ["cluster_label"])
-    rows = durable(members.join(own.select("id", "submission_id"), "id").join(stated, "submission_id", "left"))
+    rows = durable(members.withColumnRenamed("id", "submission_id").join(stated, "submission_id", "left"))
     votes = rows.filter("cluster_label is not null").groupBy("cluster", "cluster_label").agg(F.count(F.lit(1)).alias("n"))
     majority = votes.groupBy("cluster").agg(F.max_by("cluster_label", F.struct("n", -F.col("cluster_label"))).alias("majority"))
     return rows.join(majority, "cluster", "left")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_labels(spark, sf_dir, *clusters(spark, sf_dir))
+    rows = _with_labels(spark, sf_dir, clusters(spark, sf_dir).members)
     return rows.filter("majority is not null and not cluster_label <=> majority").select("submission_id", F.col("majority").alias("cluster_label"))
 
 
@@ -65,15 +65,14 @@ def p2_clusters(spark: SparkSession, sf_dir: str, typical: int = 5) -> DataFrame
     center nearest to the mean direction (null if no center is usable), and
     ``typical_members`` are those with most flow, then nearest to the mean.
     """
-    own, members = clusters(spark, sf_dir)
-    rows = _with_labels(spark, sf_dir, own, members)
-    means = mean_directions(members.join(own, "id").select(F.col("cluster").alias("label"), "v"), DIM).select(F.col("label").alias("cluster"), "size", "v")
+    found = clusters(spark, sf_dir)
+    rows = _with_labels(spark, sf_dir, found.members)
     centers = read_table(spark, sf_dir, "mergedcentersfromallblocks").filter(usable(F.col("center_array"), DIM)).select("center_id", F.col("center_array").alias("c"))
-    near = nearest_center(means, centers, DIM)
+    near = nearest_center(found.means, centers, DIM)
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("inflow").desc(), F.col("cos").desc(), "submission_id"))
     best = rows.withColumn("place", place).filter(F.col("place") <= typical).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "submission_id"))).alias("m"))
     labels = rows.groupBy("cluster").agg(F.max("majority").alias("cluster_label"))
-    return means.join(near, "cluster", "left").join(best, "cluster").join(labels, "cluster").select("cluster", "size", "cluster_label", "center_id", "center_cos", F.transform("m", lambda x: x["submission_id"]).alias("typical_members"))
+    return found.means.join(near, "cluster", "left").join(best, "cluster").join(labels, "cluster").select("cluster", "size", "cluster_label", "center_id", "center_cos", F.transform("m", lambda x: x["submission_id"]).alias("typical_members"))
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
