@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cairn.llm.neighbours import StableHashes, close_pairs, hashes_for, mutual_neighbours, nearest, probing_order
+from cairn.llm.neighbours import PAYLOAD, StableHashes, bucket_pairs, close_pairs, hashes_for, mutual_neighbours, nearest, probing_order
 
 NAMED = "name string, v array<double>"
 
@@ -48,8 +48,41 @@ def test_recall_of_the_index(spark):
     mean = rng.standard_normal(100)
     base = [near(rng, mean, 0.8) for _ in range(1500)]
     rows = [(i, [float(v) for v in x]) for i, x in enumerate([*base, *(near(rng, x, 0.95001) for x in base)])]
-    got = {(r["a"], r["b"]) for r in close_pairs(spark.createDataFrame(rows, "id bigint, v array<double>"), 100, 0.95).collect()}
-    assert sum((i, i + 1500) in got for i in range(1500)) / 1500 >= 0.97
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {(r["a"], r["b"]): r["cos"] for r in close_pairs(df, 100, 0.95).collect()}
+    assert sum((i, i + 1500) in got for i in range(1500)) / 1500 >= 0.99
+    # split buckets lose nothing
+    assert {(r["a"], r["b"]): r["cos"] for r in close_pairs(df, 100, 0.95, hot=100).collect()} == got
+
+
+def test_pairs_within_buckets():
+    """Everyone against those at home, in small buckets and large ones."""
+    rng = np.random.default_rng(11)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(200, 50)]))
+    ids = rng.integers(0, 400, 500)
+    payload = rng.integers(-3, 4, (500, PAYLOAD)).astype(np.int8)
+    payload[:, 0] = rng.uniform(size=500) < 0.4
+    limit = 180.0
+    want = set()
+    for i in range(500):
+        for j in range(500):
+            d = payload[i, 1:].astype(int) - payload[j, 1:]
+            if key[i] == key[j] and payload[j, 0] and ids[i] != ids[j] and (d * d).sum() <= limit:
+                want.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    got = bucket_pairs(key, ids, payload, limit, most=700)
+    assert {tuple(p) for p in got} == want and len(got) == len(want) > 20
+
+
+def test_payload_limit_keeps_pairs():
+    rng = np.random.default_rng(12)
+    h = StableHashes(100, 1, 4, 1.5, 1)
+    a = rng.standard_normal((20_000, 100))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    e = rng.standard_normal(a.shape)
+    e -= (e * a).sum(1)[:, None] * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * e / np.linalg.norm(e, axis=1)[:, None]
+    d = h.payload(a).astype(int) - h.payload(b)
+    assert ((d * d).sum(1) > h.limit(0.95)).sum() <= 2
 
 
 def test_probing_order_is_valid():

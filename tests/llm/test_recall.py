@@ -8,7 +8,7 @@ from cairn.llm.neighbours import StableHashes, hashes_for, tables_for
 
 def recall(tables, hashes, cos=0.95, pairs=1500):
     rng = np.random.default_rng(3)
-    h = StableHashes(100, tables, hashes, 2.0, 15)
+    h = StableHashes(100, tables, hashes, 1.5, 4)
     hit = 0
     for _ in range(pairs // 250):
         a, e = rng.standard_normal((2, 250, 100))
@@ -23,4 +23,4 @@ def recall(tables, hashes, cos=0.95, pairs=1500):
 @pytest.mark.parametrize("n", [3_000, 123_000, 1_230_000])
 def test_recall_does_not_fall_with_the_size(n):
     hashes = hashes_for(n)
-    assert recall(tables_for(100, hashes, 2.0, 15, 0.95), hashes) >= 0.98
+    assert recall(tables_for(100, hashes, 1.5, 4, 0.95), hashes) >= 0.99
