@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.runtime import read_table
-from cairn.sources.drift import ingest, schema_changes
+from cairn.sources.drift import ingest, schema_changes, vector_text
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +18,22 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(read_table(spark, sf_dir, "finaltable_wide_raw")).withColumn("rescued", F.to_json("rescued"))
 
 
+def p6_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, row_no, submission_id, features (positions and values as text) and rescued_fields (their names in order) of every readable record."""
+    x = ingest(read_table(spark, sf_dir, "finaltable_wide_raw"))
+    names = F.array_join(F.array_sort(F.map_keys("rescued")), ",")
+    return x.select("file_id", "row_no", "submission_id", vector_text(F.col("features")).alias("features"), names.alias("rescued_fields"))
+
+
 _SPARSE = "'v:' || array_to_string(list_transform(list_sort(list_filter(list_zip({}, {}), lambda p: p[2] <> 0)), lambda p: p[1] || ':' || p[2]), ',')"
 _LIST = "CASE WHEN regexp_extract(txt, '\\[([^\\]]*)\\]\\s*,\\s*\\[([^\\]]*)\\]', {0}) = '' THEN []::{1}[] ELSE string_split(regexp_extract(txt, '\\[([^\\]]*)\\]\\s*,\\s*\\[([^\\]]*)\\]', {0}), ',')::{1}[] END"
 _CHANGES = f"""
 WITH raw AS (
-  SELECT series_id AS s, file_month AS m, file_id AS f, row_number() OVER () AS rid, record::JSON AS j
+  SELECT series_id AS s, file_month AS m, file_id AS f, row_number() OVER () AS rid, row_no AS rn, record::JSON AS j
   FROM (SELECT * FROM finaltable_wide_raw WHERE json_valid(record)) WHERE json_type(record) = 'OBJECT'),
-kv AS (SELECT s, m, f, rid, e.key AS field, e.type AS t, e.value AS val, e.value->>'$' AS txt FROM raw, json_each(raw.j) AS e),
+kv AS (SELECT s, m, f, rid, rn, e.key AS field, e.type AS t, e.value AS val, e.value->>'$' AS txt FROM raw, json_each(raw.j) AS e),
 c AS (
-  SELECT s, m, f, rid, field,
+  SELECT s, m, f, rid, rn, txt, field,
     CASE WHEN t = 'NULL' THEN NULL WHEN t = 'VARCHAR' THEN 'string' WHEN t IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'fraction' ELSE lower(t) END AS kind,
     CASE WHEN t = 'NULL' THEN NULL
       WHEN t IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN (txt::DOUBLE)::VARCHAR
@@ -62,5 +69,14 @@ UNION ALL SELECT pair, 'retyped', old_field, new_field FROM ren WHERE was <> now
 UNION ALL SELECT o.pair, 'retyped', o.field, n.field FROM o JOIN n USING (pair, field) WHERE o.kinds <> n.kinds AND o.kinds <> '' AND n.kinds <> ''
 """
 
-QUERIES = {"p6_found": p6_found, "p6_records": p6_records}
-SQL = {"p6_found": _CHANGES}
+_TYPED = _CHANGES[: _CHANGES.index("files AS (")] + """
+vf AS (SELECT f, field AS vector_field FROM (SELECT f, field, row_number() OVER (PARTITION BY f ORDER BY (field = 'features') DESC, count(*) DESC, field) AS k FROM c WHERE canon LIKE 'v:%' GROUP BY 1, 2) WHERE k = 1),
+x AS (
+  SELECT c.*, coalesce(field = id_field AND kind IN ('string', 'integer') AND try_cast(canon AS DOUBLE) >= 100000, false) AS is_id, coalesce(field = vector_field AND canon LIKE 'v:%', false) AS is_vec
+  FROM c LEFT JOIN idf ON idf.f = c.f LEFT JOIN vf ON vf.f = c.f)
+SELECT raw.f AS file_id, raw.rn AS row_no, max(txt) FILTER (is_id) AS submission_id, max(canon) FILTER (is_vec) AS features, coalesce(string_agg(field, ',' ORDER BY field) FILTER (NOT is_id AND NOT is_vec), '') AS rescued_fields
+FROM raw LEFT JOIN x ON x.rid = raw.rid GROUP BY raw.rid, raw.f, raw.rn
+"""
+
+QUERIES = {"p6_found": p6_found, "p6_records": p6_records, "p6_typed": p6_typed}
+SQL = {"p6_found": _CHANGES, "p6_typed": _TYPED}

@@ -5,15 +5,17 @@ steps, all of them column expressions:
 
 1. *Enforce*: a field that bears a target name and casts to the target type
    fills the typed column; every other field, and every value that does not
-   cast, stays in the rescue column as JSON text by field name.
+   cast, goes to the rescue column as JSON by field name.  Records are parsed
+   once, here.
 2. *Promote*: per file, the field that plays a target role under another name
-   is approved (``file_roles``).
+   is proposed (``file_roles``) and, if it is on the list of approvals, promoted.
+   Without a list every proposal stands.
 3. *Replay*: rescued values of promoted fields are cast into the typed columns
    and leave the rescue column.
 
 ``schema_changes`` compares each file with the previous month of its feed on
-the rescued and typed fields alike and reports renamed, removed, added and
-retyped fields.
+the typed and rescued columns of the ingested table and reports renamed,
+removed, added and retyped fields.
 """
 
 from __future__ import annotations
@@ -62,6 +64,12 @@ def _sparse_text(idx: Column, vals: Column) -> Column:
     return F.concat(F.lit("v:"), F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat_ws(":", p["i"].cast("string"), p["v"].cast("string"))), ","))
 
 
+def vector_text(vec: Column) -> Column:
+    """``v:`` and the non-zero positions and values of a VEC in order; null for null."""
+    dense = _sparse_text(F.sequence(F.lit(0), F.greatest(F.size(vec["vals"]) - 1, F.lit(0))), vec["vals"])
+    return F.when(vec["kind"] == 0, _sparse_text(vec["idx"], vec["vals"])).when(vec["kind"] == 1, dense)
+
+
 def _split(text: Column, kind: str) -> Column:
     return F.when(F.trim(text) == "", F.array().cast(f"array<{kind}>")).otherwise(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast(kind)))
 
@@ -100,64 +108,80 @@ def canonical(value: Column) -> Column:
     kind = json_kind(value)
     text = F.try_variant_get(value, "$", "string")
     vec = to_vector(value)
-    as_sparse = F.when(vec["kind"] == 0, _sparse_text(vec["idx"], vec["vals"])).when(vec["kind"] == 1, _sparse_text(F.sequence(F.lit(0), F.greatest(F.size(vec["vals"]) - 1, F.lit(0))), vec["vals"]))
     return (
         F.when(kind.isNull(), None)
         .when(kind.isin("integer", "fraction"), _number(text))
         .when((kind == "string") & text.rlike(NUMBER), _number(text))
-        .when(vec.isNotNull(), as_sparse)
+        .when(vec.isNotNull(), vector_text(vec))
         .when(kind == "string", F.concat(F.lit("s:"), text))
         .otherwise(F.concat(F.lit("j:"), F.to_json(value)))
     )
 
 
-def _variant_map(record: Column) -> Column:
-    """The record's fields; null if it is unreadable or no object.
+def _is_id(text: Column) -> Column:
+    """Is it a whole number of at least ``LEAST_ID``?"""
+    x = F.when(text.rlike(NUMBER), text).try_cast("double")
+    return F.coalesce((x >= LEAST_ID) & (x == F.floor(x)), F.lit(False))
 
-    A record that names a key twice is unreadable.
-    """
-    return F.when(F.try_parse_json(record).isNotNull(), F.from_json(record, "map<string,variant>"))
 
+def _identifier(value: Column, kind: Column) -> Column:
+    """An id as text, or null where the value is none."""
+    text = F.trim(F.try_variant_get(value, "$", "string"))
+    return F.when(kind.isin("string", "integer") & _is_id(text), text)
 
-def readable(raw: DataFrame) -> DataFrame:
-    """The columns of a file's row and its ``fields``: array of (field, kind, canon).
 
-    Unreadable records, and rows without a file or series, take no part.
-    """
-    fields = F.transform(
-        F.map_entries("__m"), lambda e: F.struct(e["key"].alias("field"), json_kind(e["value"]).alias("kind"), canonical(e["value"]).alias("canon"))
-    )
-    return (
-        raw.select("series_id", "file_id", "file_month", _variant_map(F.col("record")).alias("__m"))
-        .filter("__m is not null and file_id is not null and series_id is not null and file_month is not null")
-        .select("series_id", "file_id", "file_month", fields.alias("fields"))
-    )
+def landed(raw: DataFrame) -> DataFrame:
+    """Step 1: file and row, submission_id, id_kind, features, vec_kind, rescued.
 
-
-def _inventory(records: DataFrame) -> DataFrame:
-    """Per file and field: its JSON kinds, and in how many records it looks like an id or a vector."""
-    x = records.select("series_id", "file_id", "file_month", F.explode("fields").alias("f")).select("series_id", "file_id", "file_month", "f.*")
-    is_id = F.col("kind").isin("string", "integer") & F.col("canon").isNotNull()
-    whole = F.col("canon").try_cast("double")
-    return x.groupBy("series_id", "file_id", "file_month", "field").agg(
+    ``rescued`` maps a field to its JSON kind and text.  Unreadable records
+    (also such that name a key twice or are no object), and rows without a file
+    or series, take no part.
+    """
+    fields = F.try_variant_get(F.try_parse_json("record"), "$", "map<string,variant>")
+    parsed = raw.select("series_id", "file_id", "file_month", "row_no", fields.alias("m")).filter("m is not null and file_id is not null and series_id is not null and file_month is not null")
+    target = lambda name: F.try_element_at("m", F.lit(name))
+    typed = parsed.select("*", json_kind(target(TARGETS[0])).alias("id_kind"), json_kind(target(TARGETS[1])).alias("vec_kind"))
+    typed = typed.select("*", _identifier(target(TARGETS[0]), F.col("id_kind")).alias("submission_id"), to_vector(target(TARGETS[1])).alias("features"))
+    flags = typed.select("*", F.array_compact(F.array(F.when(F.col("submission_id").isNotNull(), TARGETS[0]), F.when(F.col("features").isNotNull(), TARGETS[1]))).alias("used"))
+    entry = lambda k, v: F.struct(json_kind(v).alias("kind"), F.coalesce(F.to_json(v), F.lit("null")).alias("json"))
+    rescued = F.transform_values(F.map_filter("m", lambda k, v: ~F.array_contains("used", k)), entry)
+    return flags.select("series_id", "file_id", "file_month", "row_no", "submission_id", "id_kind", "features", "vec_kind", rescued.alias("rescued"))
+
+
+def _fields(records: DataFrame, *keep: str, id_field: Column, vector_field: Column) -> DataFrame:
+    """``keep``, field, kind, json, typed of every field of every record, typed and rescued alike; ``typed`` says which column holds it."""
+    nothing = F.lit(None).cast("string")
+    rescued = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("field"), e["value"]["kind"].alias("kind"), e["value"]["json"].alias("json"), nothing.alias("typed")))
+    own = lambda value, field, kind, name: F.when(F.col(value).isNotNull(), F.struct(field.alias("field"), F.col(kind).alias("kind"), nothing.alias("json"), F.lit(name).alias("typed")))
+    typed = F.array_compact(F.array(own("submission_id", id_field, "id_kind", TARGETS[0]), own("features", vector_field, "vec_kind", TARGETS[1])))
+    return records.select(*keep, F.explode(F.concat(rescued, typed)).alias("f")).select(*keep, "f.*")
+
+
+def inventory(records: DataFrame) -> DataFrame:
+    """Per file and field of landed records: its JSON kinds, and in how many records it is an id or a vector."""
+    keep = ["series_id", "file_id", "file_month"]
+    x = _fields(records, *keep, id_field=F.lit(TARGETS[0]), vector_field=F.lit(TARGETS[1]))
+    bare = F.when(F.col("kind") == "integer", F.col("json")).when(F.col("kind") == "string", F.regexp_extract("json", r'^"\s*([-+.0-9eE]+)\s*"$', 1))
+    may_be = (F.col("kind") == "array") | ((F.col("kind") == "object") & F.col("json").contains('"values"')) | ((F.col("kind") == "string") & F.col("json").rlike(r'^"\s*\('))
+    vector = (F.col("typed") == TARGETS[1]) | (F.col("typed").isNull() & F.when(may_be, to_vector(F.try_parse_json("json")).isNotNull()).otherwise(False))
+    return x.groupBy(*keep, "field").agg(
         F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"),
-        F.count_if(is_id & (whole >= LEAST_ID) & (whole == F.floor(whole))).alias("ids"),
-        F.count_if(F.col("canon").startswith("v:")).alias("vectors"),
+        F.count_if((F.col("typed") == TARGETS[0]) | (F.col("typed").isNull() & _is_id(bare))).alias("ids"),
+        F.count_if(vector).alias("vectors"),
     )
 
 
 def file_roles(inventory: DataFrame) -> DataFrame:
-    """Per file: the fields in the roles of the target columns, and its neighbours.
+    """Per file: the fields proposed for the roles of the target columns, and its neighbours.
 
     The id field is the one of the target name if it holds ids, else the field
-    with most id values (one fixed by hash at a tie); likewise for the vector.
+    with most id values (the first by name at a tie); likewise for the vector.
     A role nobody plays is null.  The previous file is that of the latest
     earlier month of the series (the greatest file_id if a month has several).
     """
-    named = F.col("field")
     def player(target: str, hits: str) -> Column:
-        rank = F.struct((F.col("field") == target).alias("named"), F.col(hits).alias("n"), (-F.xxhash64("field")).alias("tie"))
-        return F.max_by(F.when(F.col(hits) > 0, F.col("field")), F.when(F.col(hits) > 0, rank))
+        rank = F.struct((F.col("field") != target).alias("other"), (-F.col(hits)).alias("n"), F.col("field").alias("tie"))
+        return F.min_by(F.when(F.col(hits) > 0, F.col("field")), F.when(F.col(hits) > 0, rank))
 
     files = inventory.groupBy("series_id", "file_month", "file_id").agg(player(TARGETS[0], "ids").alias("id_field"), player(TARGETS[1], "vectors").alias("vector_field"))
     months = files.groupBy("series_id", "file_month").agg(F.max("file_id").alias("last"))
@@ -166,39 +190,66 @@ def file_roles(inventory: DataFrame) -> DataFrame:
     return files.join(months, ["series_id", "file_month"])
 
 
-def schema_changes(raw: DataFrame) -> DataFrame:
-    """file_id, change_kind, old_field, new_field of each file against its predecessor.
+def _approved(roles: DataFrame, approvals: DataFrame | None) -> DataFrame:
+    """``roles`` without the proposals that ``approvals`` (series_id, field, target) lacks; a target's own name needs none."""
+    if approvals is None:
+        return roles
+    for target, role in zip(TARGETS, ("id_field", "vector_field")):
+        known = approvals.filter(F.col("target") == target).select("series_id", F.col("field").alias(role), F.lit(True).alias("__ok")).distinct()
+        roles = roles.join(known, ["series_id", role], "left").withColumn(role, F.when(F.col("__ok") | (F.col(role) == target), F.col(role))).drop("__ok")
+    return roles
+
+
+def replayed(records: DataFrame, roles: DataFrame) -> DataFrame:
+    """Steps 2 and 3: landed records, the rescued values of their files' roles cast into the typed columns."""
+    x = records.join(roles.select("file_id", "id_field", "vector_field"), "file_id", "left")
+    of = lambda role, target: F.when(F.col(role) != target, F.try_element_at("rescued", F.col(role)))
+    x = x.select("*", of("id_field", TARGETS[0]).alias("__i"), of("vector_field", TARGETS[1]).alias("__v"))
+    x = x.select("*", F.try_parse_json("__i.json").alias("__iv"), F.try_parse_json("__v.json").alias("__vv"))
+    x = x.select("*", _identifier(F.col("__iv"), F.col("__i.kind")).alias("__id"), to_vector(F.col("__vv")).alias("__vec"))
+    taken = F.array_compact(F.array(F.when(F.col("__id").isNotNull(), F.col("id_field")), F.when(F.col("__vec").isNotNull(), F.col("vector_field"))))
+    x = x.select("*", taken.alias("__taken"))
+    return x.select(
+        "series_id", "file_id", "file_month", "row_no", F.coalesce("__id", "submission_id").alias("submission_id"), F.when(F.col("__id").isNotNull(), F.col("__i.kind")).otherwise(F.col("id_kind")).alias("id_kind"),
+        F.coalesce("__vec", "features").alias("features"), F.when(F.col("__vec").isNotNull(), F.col("__v.kind")).otherwise(F.col("vec_kind")).alias("vec_kind"), "id_field", "vector_field",
+        F.map_filter("rescued", lambda k, v: ~F.array_contains("__taken", k)).alias("rescued"),
+    )
+
+
+def schema_changes(raw: DataFrame, approvals: DataFrame | None = None) -> DataFrame:
+    """file_id, change_kind, old_field, new_field of each file against its predecessor, from the ingested table.
 
     A rename is found by signature, not by trying pairs: over the submissions
     both files share, each field that only one file has is summed up as (number
     of values, sum and xor of hashes of (submission, value)); an old and a new
     field with one signature are a rename.  If several fields share a signature
     they are matched in order of their names.  Fields whose shared values are
-    all null are never renamed.  Empty input gives no rows.
+    all null are never renamed.  Only values of fields that one file lacks are
+    brought into comparable form and shuffled; of a record that a file repeats
+    the greatest value counts.  Empty input gives no rows.
     """
-    records = durable(readable(raw))
-    inventory = durable(_inventory(records))
-    roles = file_roles(inventory)
-    pairs = durable(roles.filter("prev_file is not null").select(F.col("file_id").alias("new_file"), F.col("prev_file").alias("old_file")))
+    land = durable(landed(raw))
+    known = durable(inventory(land))
+    roles = durable(_approved(file_roles(known), approvals))
+    records = replayed(land, roles)
+    pairs = roles.filter("prev_file is not null").select(F.col("file_id").alias("new_file"), F.col("prev_file").alias("old_file"))
     sides = pairs.select(F.explode(F.array(F.struct(F.col("new_file").alias("file_id"), F.lit(True).alias("newer"), F.col("new_file").alias("pair")), F.struct(F.col("old_file").alias("file_id"), F.lit(False).alias("newer"), F.col("new_file").alias("pair")))).alias("s")).select("s.*")
 
-    here = sides.join(inventory.select("file_id", "field", "kinds"), "file_id")
+    here = sides.join(known.select("file_id", "field", "kinds"), "file_id")
     fields = here.groupBy("pair", "field").agg(
         F.max("newer").alias("in_new"), F.min("newer").alias("only_new"),
         F.max(F.when(F.col("newer"), F.col("kinds"))).alias("new_kinds"), F.max(F.when(~F.col("newer"), F.col("kinds"))).alias("old_kinds"),
     )
+    fields = durable(fields)
     one_sided = fields.filter(F.col("in_new") == F.col("only_new")).select("pair", "field", F.col("in_new").alias("newer"), F.coalesce("new_kinds", "old_kinds").alias("kinds"))
 
-    id_value = F.get(F.filter("fields", lambda f: f["field"] == F.col("id_field")), F.lit(0))["canon"]
-    keyed = records.join(roles.filter("id_field is not null").select("file_id", "id_field"), "file_id").select("file_id", id_value.alias("sid"), "fields")
-    shared = (
-        keyed.filter("sid is not null").join(sides, "file_id")
-        .groupBy("pair", "sid")
-        .agg(F.max(F.when(F.col("newer"), F.col("fields"))).alias("new"), F.max(F.when(~F.col("newer"), F.col("fields"))).alias("old"))
-        .filter("new is not null and old is not null")
-    )
-    tagged = lambda side, newer: F.transform(side, lambda f: F.struct(F.lit(newer).alias("newer"), f["field"].alias("field"), f["canon"].alias("canon")))
-    values = shared.select("pair", "sid", F.explode(F.concat(tagged("new", True), tagged("old", False))).alias("f")).select("pair", "sid", "f.*").filter("canon is not null")
+    sid = _number(F.col("submission_id"))
+    shared = records.filter("submission_id is not null").select("file_id", sid.alias("sid")).join(sides, "file_id").groupBy("pair", "sid").agg(F.count_if("newer").alias("n"), F.count_if(~F.col("newer")).alias("o")).filter("n > 0 and o > 0").select("pair", "sid")
+    of_file = one_sided.join(sides, ["pair", "newer"]).select("file_id", "field", "pair", "newer")
+    each = _fields(records.filter("submission_id is not null").withColumn("sid", sid), "file_id", "sid", "features", id_field=F.col("id_field"), vector_field=F.col("vector_field")).filter("kind is not null")
+    each = each.join(of_file, ["file_id", "field"]).withColumn("value", F.try_parse_json("json"))
+    canon = F.when(F.col("typed") == TARGETS[0], F.col("sid")).when(F.col("typed") == TARGETS[1], vector_text(F.col("features"))).otherwise(canonical(F.col("value")))
+    values = each.select("pair", "newer", "field", "sid", canon.alias("canon")).groupBy("pair", "newer", "field", "sid").agg(F.max("canon").alias("canon")).join(shared, ["pair", "sid"])
     signature = values.groupBy("pair", "newer", "field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("sid", "canon"), 28)).alias("s"), F.bit_xor(F.xxhash64("canon", "sid")).alias("x"))
     signed = one_sided.join(signature, ["pair", "newer", "field"], "left")
     place = F.row_number().over(Window.partitionBy("pair", "newer", "n", "s", "x").orderBy("field"))
@@ -214,33 +265,14 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     return one.unionByName(kept).unionByName(moved).withColumnRenamed("pair", "file_id")
 
 
-def ingest(raw: DataFrame) -> DataFrame:
+def ingest(raw: DataFrame, approvals: DataFrame | None = None) -> DataFrame:
     """All readable records in one table: file and row, submission_id, features, rescued.
 
     ``rescued`` maps field names to JSON text and holds everything that has no
     typed place.  A record without an id keeps a null submission_id.
+    ``approvals`` (series_id, field, target) lists what may be promoted; without
+    it every proposal is.
     """
-    records = readable(raw)
-    roles = file_roles(_inventory(records)).select("file_id", "id_field", "vector_field")
-    parsed = raw.select("series_id", "file_id", "file_month", "row_no", _variant_map(F.col("record")).alias("m")).filter("m is not null and file_id is not null and series_id is not null and file_month is not null")
-    target = lambda name: F.try_element_at("m", F.lit(name))
-    identifier = lambda v: F.when(json_kind(v).isin("string", "integer"), F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
-    # 1. enforce the target schema
-    enforced = parsed.select(
-        "series_id", "file_id", "file_month", "row_no", "m",
-        identifier(target(TARGETS[0])).alias("submission_id"), to_vector(target(TARGETS[1])).alias("features"),
-    )
-    # 2. promote, 3. replay
-    promoted = enforced.join(roles, "file_id", "left")
-    by_role = lambda role: F.try_element_at("m", F.col(role))
-    taken_id = F.coalesce("submission_id", identifier(by_role("id_field")))
-    taken_vec = F.coalesce("features", to_vector(by_role("vector_field")))
-    used = lambda k: (F.col("submission_id").isNotNull() & (k == F.coalesce("from_id", F.lit("")))) | (F.col("features").isNotNull() & (k == F.coalesce("from_vec", F.lit(""))))
-    replayed = promoted.select(
-        "series_id", "file_id", "file_month", "row_no", "m",
-        F.when(F.col("submission_id").isNotNull(), TARGETS[0]).otherwise(F.col("id_field")).alias("from_id"),
-        F.when(F.col("features").isNotNull(), TARGETS[1]).otherwise(F.col("vector_field")).alias("from_vec"),
-        taken_id.alias("submission_id"), taken_vec.alias("features"),
-    )
-    rescued = F.transform_values(F.map_filter("m", lambda k, v: ~used(k)), lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
-    return replayed.select("series_id", "file_id", "file_month", "row_no", "submission_id", "features", rescued.alias("rescued"))
+    land = durable(landed(raw))
+    out = replayed(land, _approved(file_roles(inventory(land)), approvals))
+    return out.select("series_id", "file_id", "file_month", "row_no", "submission_id", "features", F.transform_values("rescued", lambda k, v: v["json"]).alias("rescued"))

@@ -128,3 +128,26 @@ def test_numbers_compare_as_numbers(spark, text, same):
     rows = [(1, 1, "2011-01", '{"submission_id":"2000001","a":1}'), (2, 1, "2011-02", '{"submission_id":"2000001","b":%s}' % text)]
     kinds = {r["change_kind"] for r in schema_changes(frame(spark, rows)).collect()}
     assert ("renamed" in kinds) == same
+
+
+def test_approvals(spark):
+    """Only listed fields are promoted; a target's own name needs no approval."""
+    rows = [(1, 1, "2011-01", '{"submission_id":"2000001","features":[0.0,1.5]}'), (2, 1, "2011-02", '{"sub":2000001,"vec":[0.0,1.5]}'), (3, 2, "2011-02", '{"sub":2000001}')]
+    listed = spark.createDataFrame([(1, "sub", "submission_id")], "series_id int, field string, target string")
+    got = {r["file_id"]: r for r in ingest(frame(spark, rows), listed).withColumn("rescued", F.to_json("rescued")).collect()}
+    assert got[1]["submission_id"] == got[2]["submission_id"] == "2000001" and got[3]["submission_id"] is None
+    assert got[2]["features"] is None and "vec" in got[2]["rescued"] and "sub" in got[3]["rescued"]
+    kinds = {tuple(r) for r in schema_changes(frame(spark, rows), listed).select("file_id", "change_kind", "old_field", "new_field").collect()}
+    assert (2, "renamed", "submission_id", "sub") in kinds and (2, "renamed", "features", "vec") in kinds
+
+
+def test_changes_follow_the_ingested_table(spark, monkeypatch):
+    """The report reads the table that ingestion makes: what is not rescued is not compared."""
+    from cairn.sources import drift
+
+    real = drift.landed
+    monkeypatch.setattr(drift, "landed", lambda raw: real(raw).withColumn("rescued", F.map_filter("rescued", lambda k, v: k != "gone")))
+    rows = [(1, 1, "2011-01", '{"submission_id":"2000001","gone":1}'), (2, 1, "2011-02", '{"submission_id":"2000001"}')]
+    assert schema_changes(frame(spark, rows)).count() == 0
+    monkeypatch.undo()
+    assert schema_changes(frame(spark, rows)).count() == 1
