@@ -30,6 +30,7 @@ NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 SPARSE_TEXT = r"^\s*\(\s*(\d+)\s*,\s*\[([^\]]*)\]\s*,\s*\[([^\]]*)\]\s*\)\s*$"
 #: An id is a whole number of at least this size, as a string or an integer.
 LEAST_ID = 100_000
+KINDS = ("string", "array", "object", "integer", "fraction", "boolean")
 #: The typed columns.
 TARGETS = ("submission_id", "features")
 
@@ -39,16 +40,19 @@ def json_kind(value: Column) -> Column:
 
     A number written with a point or an exponent is a fraction, also 1.0.
     """
-    t = F.schema_of_variant(value)
-    wide = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1)
+    return F.when(value.isNotNull(), _kind_of(F.schema_of_variant(value)))
+
+
+def _kind_of(t: Column) -> Column:
+    """``json_kind`` from the text of a variant's schema."""
     return (
-        F.when(value.isNull() | (t == "VOID"), None)
+        F.when(t == "VOID", None)
         .when(t == "STRING", "string")
         .when(t == "BIGINT", "integer")
         .when(t.startswith("ARRAY"), "array")
         .when(t.startswith("OBJECT"), "object")
         .when(t == "BOOLEAN", "boolean")
-        .when((wide != "") & (wide.try_cast("int") >= 19), "integer")  # integers beyond 64 bits
+        .when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")  # integers beyond 64 bits
         .otherwise("fraction")
     )
 
@@ -143,29 +147,25 @@ def landed(raw: DataFrame) -> DataFrame:
     typed = parsed.select("*", json_kind(target(TARGETS[0])).alias("id_kind"), json_kind(target(TARGETS[1])).alias("vec_kind"))
     typed = typed.select("*", _identifier(target(TARGETS[0]), F.col("id_kind")).alias("submission_id"), to_vector(target(TARGETS[1])).alias("features"))
     flags = typed.select("*", F.array_compact(F.array(F.when(F.col("submission_id").isNotNull(), TARGETS[0]), F.when(F.col("features").isNotNull(), TARGETS[1]))).alias("used"))
-    entry = lambda k, v: F.struct(json_kind(v).alias("kind"), F.coalesce(F.to_json(v), F.lit("null")).alias("json"))
-    rescued = F.transform_values(F.map_filter("m", lambda k, v: ~F.array_contains("used", k)), entry)
+    # the kind in two steps, as an expression inside a lambda is evaluated wherever it is named
+    texts = F.transform(F.map_entries(F.map_filter("m", lambda k, v: ~F.array_contains("used", k))), lambda e: F.struct(e["key"].alias("field"), F.schema_of_variant(e["value"]).alias("t"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")))
+    rescued = F.map_from_entries(F.transform(texts, lambda e: F.struct(e["field"], F.struct(_kind_of(e["t"]).alias("kind"), e["json"].alias("json")))))
     return flags.select("series_id", "file_id", "file_month", "row_no", "submission_id", "id_kind", "features", "vec_kind", rescued.alias("rescued"))
 
 
-def _fields(records: DataFrame, *keep: str, id_field: Column, vector_field: Column) -> DataFrame:
-    """``keep``, field, kind, json, typed of every field of every record, typed and rescued alike; ``typed`` says which column holds it."""
-    nothing = F.lit(None).cast("string")
-    rescued = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("field"), e["value"]["kind"].alias("kind"), e["value"]["json"].alias("json"), nothing.alias("typed")))
-    own = lambda value, field, kind, name: F.when(F.col(value).isNotNull(), F.struct(field.alias("field"), F.col(kind).alias("kind"), nothing.alias("json"), F.lit(name).alias("typed")))
-    typed = F.array_compact(F.array(own("submission_id", id_field, "id_kind", TARGETS[0]), own("features", vector_field, "vec_kind", TARGETS[1])))
-    return records.select(*keep, F.explode(F.concat(rescued, typed)).alias("f")).select(*keep, "f.*")
-
-
 def inventory(records: DataFrame) -> DataFrame:
-    """Per file and field of landed records: its JSON kinds, and in how many records it is an id or a vector."""
+    """Per file and field of landed records: its JSON kinds (a bit each), and in how many records it is an id or a vector."""
     keep = ["series_id", "file_id", "file_month"]
-    x = _fields(records, *keep, id_field=F.lit(TARGETS[0]), vector_field=F.lit(TARGETS[1]))
+    nothing = F.lit(None).cast("string")
+    rescued = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("field"), e["value"]["kind"].alias("kind"), e["value"]["json"].alias("json"), nothing.alias("typed")))
+    own = lambda value, kind, name: F.when(F.col(value).isNotNull(), F.struct(F.lit(name).alias("field"), F.col(kind).alias("kind"), nothing.alias("json"), F.lit(name).alias("typed")))
+    typed = F.array_compact(F.array(own("submission_id", "id_kind", TARGETS[0]), own("features", "vec_kind", TARGETS[1])))
+    x = records.select(*keep, F.explode(F.concat(rescued, typed)).alias("f")).select(*keep, "f.*")
     bare = F.when(F.col("kind") == "integer", F.col("json")).when(F.col("kind") == "string", F.regexp_extract("json", r'^"\s*([-+.0-9eE]+)\s*"$', 1))
     may_be = (F.col("kind") == "array") | ((F.col("kind") == "object") & F.col("json").contains('"values"')) | ((F.col("kind") == "string") & F.col("json").rlike(r'^"\s*\('))
     vector = (F.col("typed") == TARGETS[1]) | (F.col("typed").isNull() & F.when(may_be, to_vector(F.try_parse_json("json")).isNotNull()).otherwise(False))
     return x.groupBy(*keep, "field").agg(
-        F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"),
+        F.coalesce(F.bit_or(sum((F.when(F.col("kind") == k, 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))), F.lit(0)).alias("kinds"),
         F.count_if((F.col("typed") == TARGETS[0]) | (F.col("typed").isNull() & _is_id(bare))).alias("ids"),
         F.count_if(vector).alias("vectors"),
     )
@@ -245,9 +245,12 @@ def schema_changes(raw: DataFrame, approvals: DataFrame | None = None) -> DataFr
 
     sid = _number(F.col("submission_id"))
     shared = records.filter("submission_id is not null").select("file_id", sid.alias("sid")).join(sides, "file_id").groupBy("pair", "sid").agg(F.count_if("newer").alias("n"), F.count_if(~F.col("newer")).alias("o")).filter("n > 0 and o > 0").select("pair", "sid")
-    of_file = one_sided.join(sides, ["pair", "newer"]).select("file_id", "field", "pair", "newer")
-    each = _fields(records.filter("submission_id is not null").withColumn("sid", sid), "file_id", "sid", "features", id_field=F.col("id_field"), vector_field=F.col("vector_field")).filter("kind is not null")
-    each = each.join(of_file, ["file_id", "field"]).withColumn("value", F.try_parse_json("json"))
+    # per file the few fields that a neighbour lacks; only these are looked up in a record
+    wanted = one_sided.join(sides, ["pair", "newer"]).groupBy("file_id").agg(F.collect_list(F.struct("field", "pair", "newer")).alias("wanted"))
+    each = records.filter("submission_id is not null").join(wanted, "file_id").select("id_field", "vector_field", "features", "rescued", sid.alias("sid"), F.explode("wanted").alias("w"))
+    held = F.col("rescued")[F.col("w.field")]
+    each = each.select("w.*", "sid", "features", F.when(F.col("w.field") == F.col("id_field"), TARGETS[0]).when((F.col("w.field") == F.col("vector_field")) & F.col("features").isNotNull(), TARGETS[1]).alias("typed"), held["json"].alias("json"))
+    each = each.filter("typed is not null or json <> 'null'").withColumn("value", F.try_parse_json("json"))
     canon = F.when(F.col("typed") == TARGETS[0], F.col("sid")).when(F.col("typed") == TARGETS[1], vector_text(F.col("features"))).otherwise(canonical(F.col("value")))
     values = each.select("pair", "newer", "field", "sid", canon.alias("canon")).groupBy("pair", "newer", "field", "sid").agg(F.max("canon").alias("canon")).join(shared, ["pair", "sid"])
     signature = values.groupBy("pair", "newer", "field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("sid", "canon"), 28)).alias("s"), F.bit_xor(F.xxhash64("canon", "sid")).alias("x"))
@@ -259,7 +262,7 @@ def schema_changes(raw: DataFrame, approvals: DataFrame | None = None) -> DataFr
     matched = old.join(new, ["pair", "n", "s", "x", "place"], "full")
     nothing = F.lit("")
     one = matched.select("pair", F.when(F.col("old_field").isNull(), "added").when(F.col("new_field").isNull(), "removed").otherwise("renamed").alias("change_kind"), F.coalesce("old_field", nothing).alias("old_field"), F.coalesce("new_field", nothing).alias("new_field"))
-    differ = lambda a, b: (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b))
+    differ = lambda a, b: (F.col(a) != 0) & (F.col(b) != 0) & (F.col(a) != F.col(b))
     kept = fields.filter((F.col("in_new") != F.col("only_new")) & differ("old_kinds", "new_kinds")).select("pair", F.lit("retyped").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
     moved = matched.filter(F.col("old_field").isNotNull() & F.col("new_field").isNotNull() & differ("was", "now")).select("pair", F.lit("retyped").alias("change_kind"), "old_field", "new_field")
     return one.unionByName(kept).unionByName(moved).withColumnRenamed("pair", "file_id")
