@@ -23,14 +23,14 @@ one the right side has, so what lies outside need not change:
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.types as T
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files are; a parameter of every function here.
@@ -191,27 +191,36 @@ def encode_texts(docs: DataFrame, text: str, keep: list[str], name: str = "byte_
     ``docs`` are ignored; a kept column that is itself named ``ids`` becomes
     ``ids_kept``.
     """
-    short, long = _encoded(docs, text, keep, name, folder, leaf, reach, sizes=False)
-    return short.unionByName(long).toDF(*_out_names(keep, "ids"))
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    return measured_texts(docs, text, keep, lambda kept, found: [_id_lists(found)], [ids], name, folder, leaf, reach).toDF(*_out_names(keep, "ids"))
 
 
 def token_sizes(docs: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF, reach: int = REACH) -> DataFrame:
     """``keep`` and ``n_tokens`` of every row: as ``encode_texts``, but only numbers leave the tasks."""
-    short, long = _encoded(docs, text, keep, name, folder, leaf, reach, sizes=True)
-    counted = long.select(*long.columns[:-1], F.size("ids").alias("n_tokens"))
-    return short.unionByName(counted).toDF(*_out_names(keep, "n_tokens"))
+    size = T.StructField("n_tokens", T.IntegerType())
+    return measured_texts(docs, text, keep, lambda kept, found: [pa.array([len(x) for x in found], pa.int32())], [size], name, folder, leaf, reach).toDF(*_out_names(keep, "n_tokens"))
 
 
 def _out_names(keep: list[str], own: str) -> list[str]:
     return [*(f"{c}_kept" if c == own else c for c in keep), own]
 
 
-def _encoded(docs: DataFrame, text: str, keep: list[str], name: str, folder: str, leaf: int, reach: int, sizes: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows with short texts (ids, or their number) and those with long ones (ids)."""
+def is_long(text: str, leaf: int = LEAF) -> Column:
+    """Does this text go through the tree?"""
+    return F.coalesce(F.length(F.col(text)), F.lit(0)) > leaf
+
+
+def measured_texts(docs: DataFrame, text: str, keep: list[str], measure: Callable[[list[pa.Array], list[np.ndarray]], list[pa.Array]], fields: list[T.StructField], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF, reach: int = REACH, long_docs: DataFrame | None = None) -> DataFrame:
+    """``keep`` (as __k0, __k1, ...) and ``fields`` of every row: what ``measure`` makes of the kept columns and the token ids of some rows.
+
+    ``long_docs``: the rows with long texts, where they have been set aside
+    already; otherwise they take a second scan, which only measures lengths.
+    """
     ids_type = T.ArrayType(T.IntegerType())
     named, keep = keep, [f"__k{i}" for i in range(len(keep))]  # inside, no name can clash
     kept = [T.StructField(k, docs.schema[c].dataType) for k, c in zip(keep, named)]
     out = T.StructType([*kept, T.StructField("ids", ids_type)])
+    measured = T.StructType([*kept, *fields])
     n = len(keep)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +228,11 @@ def _encoded(docs: DataFrame, text: str, keep: list[str], name: str, folder: str
         for batch in batches:
             for lo, hi in _slices(batch.column(n)):
                 part = batch.slice(lo, hi - lo)
-                found = (np.asarray(enc.encode_to_numpy(t, disallowed_special=()), np.int32) if t else np.empty(0, np.int32) for t in part.column(n).to_pylist())
-                last = pa.array([len(x) for x in found], pa.int32()) if sizes else _id_lists(list(found))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], last], names=[*keep, "n_tokens" if sizes else "ids"])
+                found = [np.asarray(enc.encode_to_numpy(t, disallowed_special=()), np.int32) if t else np.empty(0, np.int32) for t in part.column(n).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *measure(part.columns[:n], found)], names=measured.names)
 
-    is_long = F.coalesce(F.length(F.col(text)), F.lit(0)) > leaf
     columns = [*(F.col(c).alias(k) for k, c in zip(keep, named)), F.col(text).alias("__text")]
-    counted = T.StructType([*kept, T.StructField("n_tokens", T.IntegerType())])
-    short = docs.filter(~is_long).select(*columns).mapInArrow(encode, counted if sizes else out)
+    short = docs.filter(~is_long(text, leaf)).select(*columns).mapInArrow(encode, measured)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,12 +263,17 @@ def _encoded(docs: DataFrame, text: str, keep: list[str], name: str, folder: str
             level = [(x[0][0] + x[1][0], tree.join(*x[0], *x[1])) if len(x) > 1 else x[0] for x in (level[i : i + 2] for i in range(0, len(level), 2))]
         return pa.Table.from_arrays([*(table.column(k).slice(0, 1) for k in keep), _id_lists([level[0][1]])], names=[*keep, "ids"])
 
+    def of_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.asarray(x.values, dtype=np.int32) for x in batch.column(n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *measure(batch.columns[:n], found)], names=measured.names)
+
     long = (
-        docs.filter(is_long).select(F.monotonically_increasing_id().alias("__row"), *columns)
+        (docs if long_docs is None else long_docs).filter(is_long(text, leaf)).select(F.monotonically_increasing_id().alias("__row"), *columns)
         .mapInArrow(split, pieces_type)
         .repartition("__row", "__piece")
         .mapInArrow(encode_pieces, encoded_type)
         .groupBy("__row")
         .applyInArrow(up_the_tree, out)
     )
-    return short, long
+    return short.unionByName(long.mapInArrow(of_ids, measured))

@@ -17,7 +17,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return short_sources(p8_shares(spark, sf_dir))
+    """The sources that the plan to fill the token total leaves short."""
+    return short_sources(mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), fill=True)[1])
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
