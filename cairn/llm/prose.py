@@ -12,6 +12,7 @@ import json
 import re
 
 _KIND = re.compile(r'"cell_type"\s*:\s*"(\w+)"')
+_OBJECT = re.compile(r"[\ufeff \t\r\n]*\{")
 _LOST_START = re.compile(r'(?!\s*\{)((?:[^"\\]|\\.|"\s*,\s*")*)"\s*\]\s*\}\s*,\s*\{\s*"cell_type"', re.S)
 _SOURCE = re.compile(r'"source"\s*:\s*(\[|")')
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)("|\Z)', re.S)
@@ -19,6 +20,8 @@ _BLANK, _COMMA = re.compile(r"\s*"), re.compile(r"\s*,")
 _BLOCK = re.compile(r"(?:\A[^\n]{0,12}?|^[^\S\n]*)# %%[^\n]*$", re.M)
 _COMMENT = re.compile(r"^\s*# ?")
 _FENCE = re.compile(r"^\s{0,3}(```+|~~~+)")
+#: A text may begin with a few stray characters before its first fence or heading.
+_STRAY = re.compile(r"\A[^\n`#]{1,12}(?=```|~~~|#{1,6}\s)")
 _RULES = re.compile(r"^\s*([-*_=]\s*){3,}$")
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
 _HEADING = re.compile(r"^\s{0,3}#{1,6}(\s|$)")
@@ -30,8 +33,7 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 def layout(text: str, stated: str | None) -> str:
     """The layout; ``stated`` decides for a text whose start is cut off or overwritten."""
-    head = text[:4000].lstrip("\ufeff \t\r\n")
-    if '"cell_type"' in text and (stated == "json" or head.startswith("{") or stated is None and _KIND.search(head)):
+    if '"cell_type"' in text and (stated == "json" or _OBJECT.match(text) or stated is None and _KIND.search(text) and '"source"' in text):
         return "json"
     if stated in ("json", "percent"):
         return stated
@@ -93,7 +95,7 @@ def text_cells(text: str, stated: str | None = None) -> list[str]:
     """The text cells of a notebook; lines end in a plain newline."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     kind = layout(text, stated)
-    cells = _json_cells(text) if kind == "json" else _percent_cells(text) if kind == "percent" else [text]
+    cells = _json_cells(text) if kind == "json" else _percent_cells(text) if kind == "percent" else [_STRAY.sub("", text)]
     return [c.replace("\r\n", "\n") for c in cells]
 
 

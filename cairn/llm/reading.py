@@ -5,9 +5,10 @@ classes on word and character features, and the sentence distributions are
 averaged, weighted by words, into the document's; the document's difficulty is
 its expected level, calibrated on the graded passages.
 
-The model is fitted on at most ``most_sentences`` labelled sentences (a table of
-graded passages is small; a larger one is cut by hash, a documented bound) and
-is a plain array that every task receives.  A word's part in the scores depends
+The model is fitted on at most ``MOST_SENTENCES`` sentences of at most
+``most_passages`` graded passages (the table is small; of a larger one a part is
+chosen by hash: the bound of the classifier's sample) and is a plain array that
+every task receives.  A word's part in the scores depends
 on the word alone, so each task scores a word once and a sentence is a mean.
 """
 
@@ -29,6 +30,8 @@ BUCKETS = 1 << 13
 #: Shares of a word's unit weight: the word itself, its character groups.
 WORD_SHARE, GROUP_SHARE = 0.5, 0.5
 LENGTHS = 8
+#: Sentences a model is fitted on at most: 4,000 rows of 8,201 numbers are 131 MB.
+MOST_SENTENCES = 4_000
 
 
 def word_features(word: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +81,10 @@ def words_of(sentence: str) -> list[str]:
 
 
 def _row(words: list[str]) -> np.ndarray:
-    x = np.zeros(BUCKETS + LENGTHS + 1)
+    x = np.zeros(BUCKETS + LENGTHS + 1, np.float32)
     for w in words:
         at, share = word_features(w)
-        np.add.at(x, at, share / len(words))
+        np.add.at(x, at, (share / len(words)).astype(np.float32))
     x[BUCKETS : BUCKETS + LENGTHS] = length_features(len(words))
     x[-1] = 1
     return x
@@ -92,9 +95,13 @@ def _softmax(x: np.ndarray, truth: np.ndarray, n_classes: int, penalty: float, s
     y = np.eye(n_classes)[truth]
     balance = (1 / y.sum(0).clip(1))[truth]
     balance /= balance.sum()
-    gram = x @ x.T  # the weights lie in the span of the rows: w = x' a
+    gram = (x @ x.T).astype(float)  # the weights lie in the span of the rows: w = x' a
+    v = np.ones(len(gram))
+    for _ in range(60):  # power iteration; the margin of a tenth covers what it lacks
+        v = gram @ v
+        v /= np.linalg.norm(v)
     a, momentum = np.zeros_like(y), np.zeros_like(y)
-    rate = 1.0 / (np.linalg.eigvalsh(gram)[-1] * balance.max() / 2 + penalty)
+    rate = 1.0 / (1.1 * float(v @ gram @ v) * balance.max() / 2 + penalty)
     for step in range(steps):
         ahead = a + step / (step + 3) * momentum
         z = gram @ ahead
@@ -105,12 +112,15 @@ def _softmax(x: np.ndarray, truth: np.ndarray, n_classes: int, penalty: float, s
     return x.T @ a
 
 
-def fit(labelled: list[tuple[str, int, str]], penalty: float = 1e-4, steps: int = 400) -> LevelModel:
+def fit(labelled: list[tuple[str, int, str]], penalty: float = 1e-4, steps: int = 400, most: int = MOST_SENTENCES) -> LevelModel:
     """The model of (language, level, passage) rows.
 
     Null or wordless passages are left out.  The calibration uses passages that
     the scoring model has not seen (two halves, each scored by the other's
-    model); a class with a single passage is scored by the full model.
+    model); a class with a single passage is scored by the full model.  A text
+    counts as of the highest level from the share halfway between those of the
+    passages of the highest level and of the next, one half at most.  Of more
+    than ``most`` sentences those with the smallest hashes are used.
     """
     passages = sorted((lang, int(level), text) for lang, level, text in labelled if text and lang and level is not None and any(map(words_of, sentences(text))))
     classes = sorted({(lang, level) for lang, level, _ in passages})
@@ -121,10 +131,11 @@ def fit(labelled: list[tuple[str, int, str]], penalty: float = 1e-4, steps: int
     for lang, level, text in passages:
         half = turn[lang, level] = 1 - turn.get((lang, level), 1)
         for words in filter(None, map(words_of, sentences(text))):
-            rows.append(_row(words))
+            rows.append(words)
             truth.append(classes.index((lang, level)))
             part.append(half)
-    x, y, part = np.array(rows), np.array(truth), np.array(part)
+    use = sorted(range(len(rows)), key=lambda i: zlib.crc32(" ".join(rows[i]).encode("utf-8", "replace")))[:most] if len(rows) > most else range(len(rows))
+    x, y, part = np.array([_row(rows[i]) for i in use], np.float32), np.array([truth[i] for i in use]), np.array([part[i] for i in use])
     model = LevelModel(classes, _softmax(x, y, len(classes), penalty, steps), {}, {})
     singles = {c for c in classes if sum(p[:2] == c for p in passages) < 2}
     halves = [model] * 2 if singles == set(classes) else [LevelModel(classes, _softmax(x[part != h], y[part != h], len(classes), penalty, steps), {}, {}) for h in (0, 1)]
@@ -141,7 +152,7 @@ def fit(labelled: list[tuple[str, int, str]], penalty: float = 1e-4, steps: int
         model.scale[lang] = ([float(v) for v in own], raw.tolist())
         high = float(np.mean([t for _, t in seen[lang, own[-1]]]))
         low = float(np.mean([t for _, t in seen[lang, own[-2]]])) if len(own) > 1 else 0.0
-        model.cut[lang] = (high + low) / 2
+        model.cut[lang] = min((high + low) / 2, 0.5)
     return model
 
 

@@ -27,9 +27,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_top_terms(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     """partition_id, cluster_label, term_rank, term_index, weight, term_code of the ``n`` heaviest terms."""
     groups = ["partition_id", "cluster_label"]
-    standing = latest(read_table(spark, sf_dir, "clusterstats"), groups, "updated_at", ["tfidf_mean"]).filter("tfidf_mean is not null")
-    items = standing.select(*groups, F.explode(nonzero_entries(F.col("tfidf_mean"))).alias("e")).select(*groups, "e.term_index", F.col("e.value").alias("weight")).filter("weight > 0")
-    best = top_items(items, groups, [F.col("weight").desc(), F.col("term_index")], n, "term_rank")
+    # a delivery's items are ranked where they are read, so only n of them meet the other deliveries of the group
+    rows = read_table(spark, sf_dir, "clusterstats").select(F.monotonically_increasing_id().alias("delivery"), *groups, "updated_at", "tfidf_mean")
+    items = rows.filter("tfidf_mean is not null").select("delivery", F.explode(nonzero_entries(F.col("tfidf_mean"))).alias("e")).select("delivery", "e.term_index", F.col("e.value").alias("weight")).filter("weight > 0")
+    best = top_items(items, ["delivery"], [F.col("weight").desc(), F.col("term_index")], n, "term_rank")
+    standing = latest(rows, groups, "updated_at", ["delivery"])
+    best = best.join(standing, "delivery")
     codes = read_table(spark, sf_dir, "valid_terms").groupBy("term_index").agg(F.min("term_code").alias("term_code"))
     code = F.coalesce("term_code", F.concat(F.lit("unknown_"), F.col("term_index").cast("string")))
     return best.join(codes, "term_index", "left").select(*groups, "term_rank", "term_index", "weight", code.alias("term_code"))

@@ -58,3 +58,28 @@ def test_documents(spark):
     assert document_levels(df.limit(0), passages).count() == 0
     by = {r["doc_id"]: r["difficulty"] for r in document_levels(df, passages).collect()}
     assert by[1] > 3.5 and by[2] < 1.5 and np.isfinite(by[5])
+
+
+def test_first_cell_beyond_any_prefix():
+    """A cut-off object without a stated layout, whose first cell comes late."""
+    from cairn.llm.prose import prose
+
+    text = "A" * 9000 + '"]}, {"cell_type": "markdown", "source": ["A plain sentence stands here."]}'
+    assert prose(text) == ["A plain sentence stands here."]
+
+
+def test_stray_characters_before_the_first_fence():
+    from cairn.llm.prose import prose
+
+    for stray in ("", "\u2014\u2026ok", "\U0001f4c8\U0001f389"):
+        assert prose(stray + "```python\nx = 1\n```\n\nA plain sentence.\n", "markdown") == ["A plain sentence."]
+        assert prose(stray + "# Title\n\nA plain sentence.\n", "markdown") == ["A plain sentence."]
+
+
+def test_bounded_sample_of_sentences():
+    from cairn.llm.reading import distributions, fit
+
+    rows = [("en", 1 + k, " ".join(f"{w} {w} {w}{i}." for i in range(40))) for k, w in enumerate(("cat", "market", "epistemology")) for _ in range(4)]
+    full, part = fit(rows), fit(rows, most=60)
+    for _, level, text in rows[::4]:
+        assert all(full.classes[int(distributions(m, [[text]])[1][0].argmax())][1] == level for m in (full, part))

@@ -59,3 +59,11 @@ def test_group_limit_before_and_after_the_shuffle(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = top_items(items, ["l_suppkey"], [F.col("l_quantity").desc(), F.col("l_orderkey")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_group_limits_of_the_query(spark):
+    """p3_found itself prunes a delivery's items before anything is shuffled, and again after."""
+    from cairn.llm.term_queries import p3_found
+
+    plan = p3_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count(", Partial") >= 1 and plan.index("Final") < plan.index("Partial")
