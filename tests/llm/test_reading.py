@@ -64,7 +64,7 @@ def test_first_cell_beyond_any_prefix():
     """A cut-off object without a stated layout, whose first cell comes late."""
     from cairn.llm.prose import prose
 
-    text = "A" * 9000 + '"]}, {"cell_type": "markdown", "source": ["A plain sentence stands here."]}'
+    text = "A" * 9000 + '"}], "execution_count": 1}, {"cell_type": "markdown", "source": ["A plain sentence stands here."]}'
     assert prose(text) == ["A plain sentence stands here."]
 
 
