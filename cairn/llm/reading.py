@@ -120,7 +120,7 @@ def fit(labelled: list[tuple[str, int, str]], penalty: float = 1e-4, steps: int
     model); a class with a single passage is scored by the full model.  A text
     counts as of the highest level from the share halfway between those of the
     passages of the highest level and of the next, one half at most.  Of more
-    than ``most`` sentences those with the smallest hashes are used.
+    than ``most`` sentences as many of each class are used, chosen by hash.
     """
     passages = sorted((lang, int(level), text) for lang, level, text in labelled if text and lang and level is not None and any(map(words_of, sentences(text))))
     classes = sorted({(lang, level) for lang, level, _ in passages})
@@ -134,7 +134,10 @@ def fit(labelled: list[tuple[str, int, str]], penalty: float = 1e-4, steps: int
             rows.append(words)
             truth.append(classes.index((lang, level)))
             part.append(half)
-    use = sorted(range(len(rows)), key=lambda i: zlib.crc32(" ".join(rows[i]).encode("utf-8", "replace")))[:most] if len(rows) > most else range(len(rows))
+    use = list(range(len(rows)))
+    if len(rows) > most:
+        use.sort(key=lambda i: zlib.crc32(f"{i}:{' '.join(rows[i])}".encode("utf-8", "replace")))
+        use = [i for c in range(len(classes)) for i in [i for i in use if truth[i] == c][: most // len(classes)]]
     x, y, part = np.array([_row(rows[i]) for i in use], np.float32), np.array([truth[i] for i in use]), np.array([part[i] for i in use])
     model = LevelModel(classes, _softmax(x, y, len(classes), penalty, steps), {}, {})
     singles = {c for c in classes if sum(p[:2] == c for p in passages) < 2}
