@@ -1,42 +1,92 @@
 """From local centers to global ones.
 
 Centers are few by construction (observers x components x blocks) and carry an
-explicit position ``pos``, since consolidation by order depends on it.  Pair
-distances are a self-join with a distance filter; what returns is edges.  A
-greedy pass over the edges decides which centers stay: j goes if a kept i < j is
-nearer than the threshold, distances being those of the original coordinates.
+explicit position ``pos``, since consolidation by order depends on it.  Pairs are
+measured in NumPy, every partition of centers against *chunks* of all centers
+that go to every task one after the other (``CHUNK`` numbers at most), so any
+number of centers can be handled; what only needs a sum, a count or a minimum
+per center never gives out pairs.  The greedy pass reads the centers in their
+order and keeps only those that stay: j goes if a kept i < j is nearer than the
+threshold, distances being those of the original coordinates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import euclidean, squared_distance
-from cairn.runtime import durable, numbered
+from cairn.runtime import durable, numbered, release
 
-#: More centers than this are refused: their pairs would no longer be a small result.
-MOST_CENTERS = 20_000
+#: Numbers of a chunk of centers: 80 MB.
+CHUNK = 10_000_000
+#: A dense decomposition holds the square of this many numbers (0.8 GB) in one task; more centers are refused.
+MOST_SPECTRAL = 10_000
+#: Rows of a part of the sorted distances.
+PART = 100_000
 
 
 def with_position(centers: DataFrame, order: list[str]) -> DataFrame:
-    """``centers`` with ``pos`` from 0 in ``order``."""
-    return centers.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    """``centers`` with ``pos`` from 0 in ``order`` (range partitions, no task holds all)."""
+    return numbered(centers, order, "pos")
+
+
+def _chunks(centers: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, centers) of all centers, a bounded part at a time."""
+    size = centers.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("center")).alias("d")).first()
+    parts = max(1, math.ceil(size["n"] * (size["d"] or 1) / CHUNK))
+    for k in range(parts):
+        rows = (centers if parts == 1 else centers.filter(F.col("pos") % parts == k)).select("pos", "center").toArrow()
+        pos = np.asarray(rows.column("pos")).astype(np.int64)
+        order = np.argsort(pos)
+        x = np.asarray(rows.column("center").combine_chunks().flatten(), float).reshape(len(pos), size["d"] or 0)
+        yield pos[order], x[order]
+
+
+def against_all(centers: DataFrame, measure: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], schema: str, extra: str = "pos") -> DataFrame:
+    """What ``measure`` makes of (pos, extra, center) of some centers and (pos, center) of a chunk of all, for every chunk.
+
+    ``extra`` is a numeric column that goes along.  The squared distances that
+    ``squared`` gives are those of the differences, not of dot products.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = None
+    for chunk in _chunks(centers):
+        shared = centers.sparkSession.sparkContext.broadcast(chunk)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pos, all_centers = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 64):
+                    part = batch.slice(lo, 64)
+                    x = np.asarray(part.column(2).flatten(), float).reshape(part.num_rows, -1)
+                    for at in range(0, len(pos), 1024):
+                        found = measure(np.asarray(part.column(0)), np.asarray(part.column(1)), x, pos[at : at + 1024], all_centers[at : at + 1024])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found], names=names)
+
+        got = centers.select("pos", F.col(extra).alias("__extra"), "center").mapInArrow(run, schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)
 
 
 def center_distances(centers: DataFrame, below: float | None = None) -> DataFrame:
     """i < j, d of the pairs of ``centers`` (pos, center), those with d < ``below`` if it is given."""
-    n = centers.count()
-    if n > MOST_CENTERS:
-        raise ValueError("too many centers for pair distances")
-    a = centers.select(F.col("pos").alias("i"), F.col("center").alias("a"))
-    b = centers.select(F.col("pos").alias("j"), F.col("center").alias("b"))
-    pairs = a.join(b, F.col("i") < F.col("j")).select("i", "j", euclidean(F.col("a"), F.col("b")).alias("d"))
-    return pairs if below is None else pairs.filter(F.col("d") < below)
+
+    def pairs(pos, _, x, other, y):
+        d = np.sqrt(squared(x, y))
+        a, b = np.nonzero((pos[:, None] < other[None, :]) & ((d < below) if below is not None else True))
+        return [pos[a].astype(np.int32), other[b].astype(np.int32), d[a, b]]
+
+    return against_all(centers, pairs, "i int, j int, d double")
 
 
 def merge_threshold(centers: DataFrame, percentage: float) -> float | None:
@@ -72,11 +122,28 @@ def greedy_kept(edges: list[tuple[int, int]], positions: list[int]) -> dict[int,
 
 
 def _owners(centers: DataFrame, threshold: float | None) -> DataFrame:
-    """pos, owner of every center."""
-    positions = [r["pos"] for r in centers.select("pos").collect()]
-    edges = [] if threshold is None else [(r["i"], r["j"]) for r in center_distances(centers, threshold).select("i", "j").collect()]
-    owner = greedy_kept(edges, positions)
-    return centers.sparkSession.createDataFrame(sorted(owner.items()) or [], "pos int, owner int")
+    """pos, owner of every center: one pass in order of ``pos`` by one task, whose memory is the kept centers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kept, n = np.empty(0, np.int32), np.empty((0, 0)), 0
+        for batch in batches:
+            pos = np.asarray(batch.column(0)).astype(np.int32)
+            x = np.asarray(batch.column(1).flatten(), float).reshape(len(pos), -1)
+            owner = pos.copy()
+            for k in range(len(pos)):
+                if threshold is not None and n:
+                    near = np.flatnonzero(((kept[:n] - x[k]) ** 2).sum(1) < threshold**2) if threshold > 0 else ()
+                    if len(near):
+                        owner[k] = names[near[0]]
+                        continue
+                if n == len(names):
+                    names = np.concatenate([names, np.empty(max(64, n), np.int32)])
+                    kept = np.concatenate([kept.reshape(n, x.shape[1]), np.empty((max(64, n), x.shape[1]))])
+                names[n], kept[n] = pos[k], x[k]
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(owner)], names=["pos", "owner"])
+
+    return durable(centers.select("pos", "center").repartition(1).sortWithinPartitions("pos").mapInArrow(run, "pos int, owner int"))
 
 
 def keep_first(centers: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -112,16 +179,21 @@ def steepest_threshold(centers: DataFrame, window: int = 200) -> DataFrame:
     the windows that begin in its first half the one with the greatest rise is
     taken, the first at a tie (index 0 if there is none), and its mean is the threshold.
     """
-    d = center_distances(centers)
-    both = d.select("d").unionAll(d.select("d")).unionAll(centers.select(F.lit(0.0).alias("d")))
-    order = Window.orderBy("d")
-    rows = both.withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    at = Window.orderBy("r")
-    ends = rows.withColumn("rise", F.lead("d", window - 1).over(at) - F.col("d")).withColumn("mean", F.avg("d").over(at.rowsBetween(0, window - 1)))
-    within = ends.withColumn("ok", (F.col("r") < F.floor(F.col("n") / 2) - (window - 1)) & F.col("rise").isNotNull())
-    best = within.agg(F.max("n").alias("n"), F.max_by("mean", F.when(F.col("ok"), F.struct("rise", -F.col("r")))).alias("m"), F.max_by("r", F.when(F.col("ok"), F.struct("rise", -F.col("r")))).alias("s"), F.min_by("mean", "r").alias("m0"))
-    enough = F.col("n") >= window
-    return best.select(F.coalesce("n", F.lit(0).cast("bigint")).alias("n_entries"), F.when(enough, F.coalesce("s", F.lit(0))).alias("start"), F.when(enough, F.coalesce("m", "m0")).alias("threshold"))
+    d = durable(center_distances(centers).select("d"))
+    both = d.unionAll(d).unionAll(centers.select(F.lit(0.0).alias("d")))
+    rows = durable(numbered(both, ["d"], "r", "bigint"))
+    release(d)
+    n = rows.count()
+    # windows span parts of the order: the first rows of a part are also the last ones of the part before
+    part = F.floor(F.col("r") / PART)
+    cut = rows.select("d", "r", F.explode(F.when((F.col("r") % PART < window - 1) & (part > 0), F.array(part, part - 1)).otherwise(F.array(part))).alias("part"))
+    at = Window.partitionBy("part").orderBy("r")
+    ends = cut.select("r", "part", (F.lead("d", window - 1).over(at) - F.col("d")).alias("rise"), F.avg("d").over(at.rowsBetween(0, window - 1)).alias("mean"))
+    ends = ends.filter((F.floor(F.col("r") / PART) == F.col("part")))
+    ok = (F.col("r") < n // 2 - (window - 1)) & F.col("rise").isNotNull()
+    best = ends.agg(F.max_by("mean", F.when(ok, F.struct("rise", -F.col("r")))).alias("m"), F.max_by("r", F.when(ok, F.struct("rise", -F.col("r")))).alias("s"), F.min_by("mean", "r").alias("m0"))
+    enough = F.lit(n >= window)
+    return best.select(F.lit(n).cast("bigint").alias("n_entries"), F.when(enough, F.coalesce("s", F.lit(0).cast("bigint"))).alias("start"), F.when(enough, F.coalesce("m", "m0")).alias("threshold"))
 
 
 def keep_first_steepest(centers: DataFrame, window: int = 200) -> DataFrame:
@@ -164,7 +236,7 @@ def spectral_labels(centers: DataFrame, small: float = 1e-4, rounds: int = 100)
             c = np.array([rows[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
         return pd.DataFrame({"pos": part["pos"].to_numpy(), "label": label.astype("int32")})
 
-    if centers.count() > 5_000:
+    if centers.count() > MOST_SPECTRAL:
         raise ValueError("too many centers for a dense decomposition")
     return centers.select("pos", "center", F.lit(0).alias("g")).groupBy("g").applyInPandas(run, "pos int, label int")
 
@@ -173,22 +245,53 @@ def spectral_centers(centers: DataFrame, small: float = 1e-4) -> DataFrame:
     return label_means(centers.join(spectral_labels(centers, small), "pos"))
 
 
-def kernel_distances(centers: DataFrame) -> DataFrame:
-    """i < j, d = 1 - exp(-squared distance / 2)."""
-    a = centers.select(F.col("pos").alias("i"), F.col("center").alias("a"))
-    b = centers.select(F.col("pos").alias("j"), F.col("center").alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", (1 - F.exp(-squared_distance(F.col("a"), F.col("b")) / 2)).alias("d"))
+def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 - exp(-squared distance / 2)."""
+    return 1 - np.exp(-squared(x, y) / 2)
 
 
-def cut_off(distances: DataFrame, n: int, low: float = 0.01, high: float = 0.02, steps: int = 100) -> float:
-    """A distance below which the share of ordered pairs among n * n lies in [low, high], by bisection."""
-    ends = distances.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
-    if ends["a"] is None:
+def kernel_range(centers: DataFrame) -> tuple[float, float] | None:
+    """The least and the greatest kernel distance of two centers; None for fewer than two."""
+
+    def ends(pos, _, x, other, y):
+        d = kernel(x, y)[pos[:, None] < other[None, :]]
+        return [np.array([d.min()] if len(d) else [], float), np.array([d.max()] if len(d) else [], float)]
+
+    r = against_all(centers, ends, "a double, b double").agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
+    return None if r["a"] is None else (float(r["a"]), float(r["b"]))
+
+
+def cut_off(centers: DataFrame, low: float = 0.01, high: float = 0.02, steps: int = 100, ahead: int = 6) -> float:
+    """A kernel distance below which the share of ordered pairs among n * n lies in [low, high], by bisection.
+
+    A pass over the pairs counts for all values that the next ``ahead`` steps can
+    come to.
+    """
+    ends, n = kernel_range(centers), centers.count()
+    if ends is None:
         return 0.0
-    a, b = float(ends["a"]), float(ends["b"])
+    a, b = ends
+    known: dict[float, float] = {}
+
+    def shares(a: float, b: float) -> None:
+        tree, level = [], [(a, b)]
+        for _ in range(ahead):
+            tree += [(x + y) / 2 for x, y in level]
+            level = [p for x, y in level for p in ((x, (x + y) / 2), ((x + y) / 2, y))]
+        cuts = np.array(sorted(set(tree)))
+
+        def count(pos, _, x, other, y):
+            d = np.sort(kernel(x, y)[pos[:, None] < other[None, :]])
+            return [np.arange(len(cuts), dtype=np.int32), np.searchsorted(d, cuts, "left").astype(np.int64)]
+
+        for r in against_all(centers, count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            known[float(cuts[r["k"]])] = r["n"] * 2 / (n * n)
+
     dc = (a + b) / 2
     for _ in range(steps):
-        share = distances.filter(F.col("d") < dc).count() * 2 / (n * n)
+        if dc not in known:
+            shares(a, b)
+        share = known[dc]
         if low <= share <= high:
             break
         a, b = (dc, b) if share < low else (a, dc)
@@ -198,19 +301,40 @@ def cut_off(distances: DataFrame, n: int, low: float = 0.01, high: float = 0.02,
     return dc
 
 
-def density_peaks_table(centers: DataFrame, distances: DataFrame, dc: float) -> DataFrame:
-    """pos, rho, delta, nearest: neighbours below ``dc``; distance to the nearest denser center.
+def density_peaks_table(centers: DataFrame, dc: float) -> DataFrame:
+    """pos, rho, delta, nearest: neighbours below ``dc`` by kernel distance; distance to the nearest denser center.
 
     Ties of rho are broken by position: the earlier one counts as denser.  The
     densest center has the greatest distance of all as delta and no ``nearest``.
+    Two passes give a few numbers per center; no pairs are written.
     """
-    both = distances.select(F.col("i").alias("pos"), F.col("j").alias("other"), "d").unionAll(distances.select(F.col("j").alias("pos"), F.col("i").alias("other"), "d"))
-    count = both.filter(F.col("d") < dc).groupBy("pos").agg(F.count(F.lit(1)).alias("c"))
-    rho = centers.select("pos").join(count, "pos", "left").select("pos", F.coalesce("c", F.lit(0).cast("bigint")).alias("rho"))
-    denser = both.join(rho, "pos").join(rho.select(F.col("pos").alias("other"), F.col("rho").alias("rho2")), "other").filter((F.col("rho2") > F.col("rho")) | ((F.col("rho2") == F.col("rho")) & (F.col("other") < F.col("pos"))))
-    near = denser.groupBy("pos").agg(F.min(F.struct("d", "other")).alias("m"))
-    top = distances.agg(F.max("d")).first()[0]
-    return rho.join(near, "pos", "left").select("pos", "rho", F.coalesce(F.col("m.d"), F.lit(0.0 if top is None else top)).alias("delta"), F.col("m.other").alias("nearest"))
+
+    def count(pos, _, x, other, y):
+        return [pos.astype(np.int32), ((kernel(x, y) < dc) & (pos[:, None] != other[None, :])).sum(1).astype(np.int64)]
+
+    rho = durable(against_all(centers, count, "pos int, rho bigint").groupBy("pos").agg(F.sum("rho").alias("rho")))
+    dense = durable(centers.select("pos", "center").join(rho, "pos"))
+    out = None
+    for at, _ in _chunks(dense):  # the ranks of a chunk's centers go along with it
+        part = dense.filter(F.col("pos").isin(at.tolist())) if len(at) < dense.count() else dense
+        ranks = {r["pos"]: r["rho"] for r in part.select("pos", "rho").collect()}
+        shared = dense.sparkSession.sparkContext.broadcast((np.array(sorted(ranks)), np.array([ranks[k] for k in sorted(ranks)])))
+
+        def nearest(pos, own, x, other, y, shared=shared):
+            names, values = shared.value
+            k = np.searchsorted(names, other).clip(0, len(names) - 1)
+            known = names[k] == other
+            denser = known & ((values[k] > own[:, None]) | ((values[k] == own[:, None]) & (other[None, :] < pos[:, None])))
+            d = np.where(denser, kernel(x, y), np.inf)
+            best = d.argmin(1)
+            use = np.isfinite(d[np.arange(len(pos)), best])
+            return [pos[use].astype(np.int32), d[np.arange(len(pos)), best][use], other[best[use]].astype(np.int32)]
+
+        got = against_all(dense, nearest, "pos int, d double, other int", "rho")
+        out = got if out is None else out.unionByName(got)
+    near = out.groupBy("pos").agg(F.min(F.struct("d", "other")).alias("m")) if out is not None else centers.select("pos", F.lit(None).cast("struct<d:double,other:int>").alias("m")).limit(0)
+    ends = kernel_range(centers)
+    return rho.join(near, "pos", "left").select("pos", "rho", F.coalesce(F.col("m.d"), F.lit(ends[1] if ends else 0.0)).alias("delta"), F.col("m.other").alias("nearest"))
 
 
 def density_peak_labels(peaks: DataFrame, delta: float, rho: float) -> DataFrame:
@@ -222,21 +346,21 @@ def density_peak_labels(peaks: DataFrame, delta: float, rho: float) -> DataFrame
     """
     spark = peaks.sparkSession
     is_center = (F.col("delta") >= delta) & (F.col("rho") >= rho)
-    table = peaks.select("pos", is_center.alias("is_center"), F.when(is_center, F.col("pos")).otherwise(F.coalesce("nearest", F.lit(-1))).alias("to")).persist()
+    table = durable(peaks.select("pos", is_center.alias("is_center"), F.when(is_center, F.col("pos")).otherwise(F.coalesce("nearest", F.lit(-1))).alias("to")))
     n = table.count()
     to = table.select("pos", "to")
     for _ in range(max(1, math.ceil(math.log2(max(2, n))))):
         step = to.select(F.col("pos").alias("to"), F.col("to").alias("next")).unionAll(spark.createDataFrame([(-1, -1)], "to int, next int"))
-        to = durable(to.join(step, "to").select("pos", F.col("next").alias("to")))  # the plan would double with the pointers
+        before, to = to, durable(to.join(step, "to").select("pos", F.col("next").alias("to")))  # the plan would double with the pointers
+        release(before)
     return table.select("pos", "is_center").join(to, "pos").select("pos", "is_center", F.col("to").alias("label"))
 
 
 def density_peak_centers(centers: DataFrame, delta: float, rho: float) -> DataFrame:
     """pos, center of the density-peak centers."""
-    d = kernel_distances(centers).persist()
-    dc = cut_off(d, centers.count())
-    chosen = density_peaks_table(centers, d, dc).filter((F.col("delta") >= delta) & (F.col("rho") >= rho)).select("pos")
-    return centers.select("pos", "center").join(chosen, "pos", "left_semi")
+    centers = durable(centers.select("pos", "center"))
+    chosen = density_peaks_table(centers, cut_off(centers)).filter((F.col("delta") >= delta) & (F.col("rho") >= rho)).select("pos")
+    return centers.join(chosen, "pos", "left_semi")
 
 
 def center_statistics(counts: DataFrame) -> DataFrame:

@@ -269,18 +269,17 @@ DC = 0.5
 
 def density_rho_delta(s, d, of=centers):
     c = of(s, d)
-    return C.density_peaks_table(c, C.kernel_distances(c), DC).select("pos", "rho", *r6("delta"), "nearest")
+    return C.density_peaks_table(c, DC).select("pos", "rho", *r6("delta"), "nearest")
 
 
 def density_labels(s, d, of=centers):
     c = of(s, d)
-    return C.density_peak_labels(C.density_peaks_table(c, C.kernel_distances(c), DC), 0.5, 3)
+    return C.density_peak_labels(C.density_peaks_table(c, DC), 0.5, 3)
 
 
 def density_cut_off(s, d):
     c = stored_centers(s, d)
-    x = durable(C.kernel_distances(c))  # counted in every step of the bisection
-    return s.createDataFrame([(C.cut_off(x, c.count()),)], "dc double").select(*r6("dc"))
+    return s.createDataFrame([(C.cut_off(durable(c)),)], "dc double").select(*r6("dc"))
 
 
 def spectral_centers(s, d):

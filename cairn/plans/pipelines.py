@@ -151,7 +151,8 @@ def run(points: DataFrame, plan: Plan, dim: int | None = None) -> Result:
         local = durable(C.with_position(found.select("block_id", "observer_id", "center_idx", "center"), ["block_id", "observer_id", "center_idx"]))
     else:
         models = None
-        local = C.with_position(points.select(F.lit(0).alias("block_id"), F.lit(0).alias("observer_id"), F.col("id").alias("center_idx"), F.col("v").alias("center")), ["center_idx"]).persist()
+        local = C.with_position(points.select(F.lit(0).alias("block_id"), F.lit(0).alias("observer_id"), F.col("id").alias("center_idx"), F.col("v").alias("center")), ["center_idx"])
+        local = durable(local)
     centers = durable(consolidated(local, plan.merge_all))
     if not plan.kmeans_rounds or centers.isEmpty():
         return Result(models, local, centers, None, None)

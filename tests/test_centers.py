@@ -189,7 +189,7 @@ def test_merges(spark):
     assert C.merge_average(c.limit(0), 0.3).count() == 0
     assert C.keep_first_steepest(c).count() == 6 and C.steepest_threshold(c).first()["threshold"] is None
     assert C.spectral_centers(c, small=0.5).count() == 3
-    peaks = C.density_peaks_table(c, C.kernel_distances(c), 0.1)
+    peaks = C.density_peaks_table(c, 0.1)
     labels = {r["pos"]: r["label"] for r in C.density_peak_labels(peaks, 0.5, 1).collect()}
     assert labels[1] == labels[2] == labels[0] == 0 and labels[3] == labels[4] == 3
     for bad in (lambda: C.merge_threshold(c, 2), lambda: C.checked_centers(c.limit(0)), lambda: C.checked_centers(c, 7), lambda: C.merge_average(c, 0.1, "x"), lambda: C.cumulative_statistics(c, batch=0)):
