@@ -118,15 +118,21 @@ def grid_observers(points: DataFrame, n: int, dim: int, seed: int = 0) -> DataFr
 
     Each dimension has ceil(n ** (1 / dim)) evenly spaced steps including both
     ends, the first dimension varying slowest; the first ``n`` distinct points
-    are taken, numbered in an order drawn from ``seed``.  Above eight dimensions
-    only the last ones would vary: sample observers there.
+    are taken.  Where a box is flat and has fewer of them, points of the box
+    drawn from ``seed`` fill up to ``n``.  The numbers are an order drawn from
+    ``seed``.  Above eight dimensions only the last ones of the grid would vary:
+    sample observers there.
     """
     steps = max(2, math.ceil(round(n ** (1 / dim), 9)))
     ends = points.groupBy("block_id").agg(*(f(F.get("v", F.lit(d))).alias(f"{e}{d}") for d in range(dim) for e, f in (("lo", F.min), ("hi", F.max))))
     cells = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(n, steps**dim) - 1))).alias("k"))
     digit = lambda d: F.floor(F.col("k") / min(steps ** (dim - 1 - d), 2**62)) % steps
     at = F.array(*(F.col(f"lo{d}") + (F.col(f"hi{d}") - F.col(f"lo{d}")) * digit(d) / float(steps - 1) for d in range(dim)))
-    grid = cells.select("block_id", "k", at.alias("observer_v")).groupBy("block_id", "observer_v").agg(F.min("k").alias("k"))
+    grid = cells.select("block_id", F.col("k").cast("int").alias("k"), at.alias("observer_v")).groupBy("block_id", "observer_v").agg(F.min("k").alias("k"))
+    lacking = grid.groupBy("block_id").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") < n).join(ends, "block_id").select("*", F.explode(F.sequence(F.col("have"), F.lit(n - 1))).alias("j"))
+    share = lambda d: (hash_number("fill", seed, F.col("block_id"), F.col("j"), d) + 0.5) / float(2**32)
+    drawn = F.array(*(F.col(f"lo{d}") + (F.col(f"hi{d}") - F.col(f"lo{d}")) * share(d) for d in range(dim)))
+    grid = grid.unionByName(lacking.select("block_id", drawn.alias("observer_v"), (F.lit(2**30) + F.col("j")).cast("int").alias("k")))
     order = Window.partitionBy("block_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"))), "k")
     return grid.select("block_id", (F.row_number().over(order) - 1).alias("observer_id"), "observer_v")
 
@@ -139,3 +145,17 @@ def gaussian_clusters(spark: SparkSession, centers: Sequence[Sequence[float]], p
     mean = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centers))
     label = (F.col("id") % k).cast("int")
     return spark.range(k * per_center).select("id", F.array(*(mean[label][d] + sigma * normal(d) for d in range(dim))).alias("v"), label.alias("label"))
+
+
+def gaussian_datasets(spark: SparkSession, n: int, per_center: int = 20, seed: int = 42) -> DataFrame:
+    """block_id, id, v, label: ``n`` small plane data sets of two or three unit normal clusters each.
+
+    The centers of a data set lie about (10 c, 10 c), each coordinate up to 2
+    further; the same for the same seed.
+    """
+    u = lambda *parts: (hash_number(seed, *parts) + 0.5) / float(2**32)
+    sets = spark.range(n).select(F.col("id").cast("int").alias("block_id"), (2 + hash_number(seed, "clusters", F.col("id")) % 2).cast("int").alias("k"))
+    rows = sets.select("block_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("label")).select("*", F.explode(F.sequence(F.lit(0), F.lit(per_center - 1))).alias("p"))
+    normal = lambda d: F.sqrt(-2.0 * F.log(u("r", F.col("block_id"), F.col("label"), F.col("p"), d))) * F.cos(2 * math.pi * u("a", F.col("block_id"), F.col("label"), F.col("p"), d))
+    v = F.array(*(10.0 * F.col("label") + 2.0 * u("c", F.col("block_id"), F.col("label"), d) + normal(d) for d in range(2)))
+    return rows.select("block_id", (F.col("label") * per_center + F.col("p")).cast("bigint").alias("id"), v.alias("v"), "label")

@@ -96,6 +96,11 @@ def merge_dictionary(terms: DataFrame, dictionary: DataFrame, key: str = "term_c
     return terms.join(dictionary.dropDuplicates(), key)
 
 
+def sample_rows(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows in ``order``, for inspection."""
+    return df.orderBy(*order).limit(n)
+
+
 def vector_profile(kinds: DataFrame) -> DataFrame:
     """kind, n, least, most, mean size of a table with columns kind and size."""
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.avg("size").alias("mean"))

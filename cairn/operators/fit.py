@@ -46,7 +46,9 @@ def fit_profile(ids: np.ndarray, x: np.ndarray, d: np.ndarray, knn: int, selecti
     if len(d) < 3 or not np.isfinite(d).all() or (d < 0).any():
         raise ValueError("a profile needs three finite distances at least")
     if selection == "window":
-        g = select_in_window(d, *search_window(_first_guess(d), len(d), delta), **how)
+        lo, hi = search_window(_first_guess(d), delta)
+        finite = max(1, len(d) // 3 - 1)  # with more components AICc has no finite value
+        g = select_in_window(d, min(lo, finite), min(hi, finite), **how)
     elif selection == "sequential":
         g = select_in_turn(d, **how)
     else:

@@ -42,10 +42,20 @@ def aicc(loglik: float, m: int, n: int) -> float:
     return math.inf if n - p - 1 <= 0 else -2.0 * loglik + 2.0 * p * n / (n - p - 1)
 
 
-def search_window(first: int, n: int, delta: int = 5, cap: int = 500) -> tuple[int, int]:
-    """Numbers of components to try around a first guess: 2 delta + 1 of them from max(1, first - delta)."""
+def search_window(first: int, delta: int = 5, cap: int = 500) -> tuple[int, int]:
+    """Numbers of components to try around a first guess: 2 delta + 1 of them from max(1, first - delta), none above ``cap``.
+
+    A guess that lies too high gives the last ones below ``cap``.
+    """
     lo = max(1, first - delta)
-    return lo, max(lo, min(lo + 2 * delta, cap, max(1, n // 3 - 1)))
+    return (max(1, cap - 2 * delta), cap) if lo >= cap else (lo, min(cap, lo + 2 * delta))
+
+
+def search_window_columns(first: Column, delta: int = 5, cap: int = 500) -> tuple[Column, Column]:
+    """``search_window`` as expressions."""
+    lo = F.greatest(F.lit(1), first - delta).cast("int")
+    high = lo >= cap
+    return F.when(high, max(1, cap - 2 * delta)).otherwise(lo).cast("int"), F.when(high, cap).otherwise(F.least(F.lit(cap), lo + 2 * delta)).cast("int")
 
 
 def moments_start(x: np.ndarray, m: int) -> GammaMixture:

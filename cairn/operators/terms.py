@@ -76,6 +76,24 @@ def percentile_details(freqs: DataFrame, low: float = 0.05, high: float = 0.95)
     )
 
 
+def percentile_report(freqs: DataFrame, documents: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``percentile_details`` with the bounds, the median, the reduction in percent, the number of documents and a recommendation; null numbers without terms."""
+    middle = numbered(freqs.select("doc_freq", "term_index"), ["doc_freq", "term_index"], "r", "bigint")
+    d = percentile_details(freqs, low, high).first()
+    median = middle.filter(F.col("r") == d["total_terms"] // 2).select(F.col("doc_freq").alias("median"))
+    text = F.format_string("keep terms in %d to %d documents", F.col("low_freq"), F.col("high_freq"))
+    out = freqs.sparkSession.createDataFrame([d], percentile_details(freqs, low, high).schema).withColumn("low", F.lit(low)).withColumn("high", F.lit(high)).withColumn("documents", F.lit(documents).cast("bigint"))
+    return out.join(median, F.lit(True), "left").withColumn("reduction", (1 - F.col("kept_share")) * 100).withColumn("recommendation", text)
+
+
+def with_vectors(entries: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """doc_id, features (VEC of ``size``) of every document: its entries under their old indices, an empty vector where none is left."""
+    e = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_index", "value"))).alias("e"))
+    part = lambda name, kind: F.coalesce(F.transform("e", lambda x: x[name]), F.array()).cast(f"array<{kind}>")
+    vec = F.struct(F.lit(0).cast("tinyint").alias("kind"), F.lit(size).alias("dim"), part("term_index", "int").alias("idx"), part("value", "double").alias("vals"))
+    return documents.select("doc_id").join(e, "doc_id", "left").select("doc_id", vec.alias("features"))
+
+
 def kept_counts(freqs: DataFrame, low: int, high: int) -> DataFrame:
     """One row: terms within the inclusive bounds, and outside."""
     inside = F.col("doc_freq").between(low, high)

@@ -114,9 +114,11 @@ def component_count(s, d):
 
 
 def search_windows(s, d):
-    c = P.component_counts(_density(s, d))
-    lo = F.greatest(F.lit(1), F.col("components") - 5)
-    return c.select("block_id", "observer_id", lo.cast("int").alias("lo"), F.least(lo + 10, F.lit(500)).cast("int").alias("hi"))
+    """The windows of the first guesses, and those of a few guesses near and above the cap (as block -1)."""
+    c = P.component_counts(_density(s, d)).select("block_id", "observer_id", F.col("components").cast("int").alias("first"))
+    high = s.createDataFrame([(-1, g, g) for g in (1, 6, 480, 496, 505, 600)], "block_id int, observer_id int, first int")
+    lo, hi = M.search_window_columns(F.col("first"))
+    return c.unionByName(high).select("block_id", "observer_id", lo.alias("lo"), hi.alias("hi"))
 
 
 def gamma_density(s, d):
@@ -430,7 +432,7 @@ SQL = {
     "kde_values": _P + f"SELECT {_AT}, id, round(dist, 6) AS dist, round(density, 6) AS density FROM k",
     "kde_peaks": _P + f"SELECT {_AT}, id, round(dist, 6) AS dist, round(density, 6) AS density FROM q WHERE density > da AND density > db",
     "component_count": _P + f"SELECT {_AT}, count(*) FILTER (density > da AND density > db) AS peaks, greatest(1, count(*) FILTER (density > da AND density > db)) AS components FROM q GROUP BY 1, 2",
-    "search_windows": _P + f"SELECT {_AT}, greatest(1, c - 5)::INTEGER AS lo, least(greatest(1, c - 5) + 10, 500)::INTEGER AS hi FROM (SELECT {_AT}, greatest(1, count(*) FILTER (density > da AND density > db)) AS c FROM q GROUP BY 1, 2)",
+    "search_windows": _P + f", c AS (SELECT {_AT}, greatest(1, count(*) FILTER (density > da AND density > db)) AS c FROM q GROUP BY 1, 2 UNION ALL SELECT -1, g, g FROM (VALUES (1), (6), (480), (496), (505), (600)) AS t(g)) SELECT {_AT}, CASE WHEN c >= 505 THEN 490 WHEN c > 6 THEN c - 5 ELSE 1 END::INTEGER AS lo, CASE WHEN c >= 495 THEN 500 WHEN c > 6 THEN c + 5 ELSE 11 END::INTEGER AS hi FROM c",
     "gamma_density": _G + f"SELECT {_AT}, id, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM g",
     "gamma_classify": _G + f"SELECT {_AT}, id, {_LABEL}::INTEGER AS component FROM g",
     "component_sizes": _G + f"SELECT {_AT}, {_LABEL}::INTEGER AS component, count(*) AS n FROM g GROUP BY 1, 2, 3",

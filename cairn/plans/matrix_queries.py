@@ -192,14 +192,14 @@ def stored_merge(s, d):
 
 
 def streamed_merge(s, d):
-    """The same merge by a stream of files, one block each."""
+    """The same merge by a stream of files, one block and one batch each: the centers kept after each."""
     t = read_table(s, d, "localcentersperpartition").groupBy("partition_id").agg(F.max("centers_list").alias("centers_list"))
     at = f"{shared_dir(s)}/cairn/{uuid.uuid4().hex}"
     flat = t.select(F.col("partition_id").alias("block_id"), F.posexplode("centers_list").alias("center_index", "center"))
-    flat.repartition(1).sortWithinPartitions("block_id").write.parquet(f"{at}/in")
-    stream = s.readStream.schema(flat.schema).parquet(f"{at}/in")
+    S.write_arrivals(flat, "block_id", f"{at}/in")
+    stream = s.readStream.schema(flat.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
     fold.fold_stream(stream, f"{at}/state", f"{at}/log", 0.9).awaitTermination()
-    return fold.current_centers(s, f"{at}/state").agg(F.count(F.lit(1)).alias("kept"))
+    return fold.fold_report(s, f"{at}/state")
 
 
 def _folder(s) -> str:
@@ -417,7 +417,7 @@ SQL = {
     "nested_centers": "WITH t AS (SELECT DISTINCT partition_id, centers_list FROM localcentersperpartition), u AS (SELECT partition_id, unnest(centers_list) AS c, unnest(range(0, len(centers_list)))::INTEGER AS center_index FROM t) SELECT partition_id, center_index, unnest(range(0, len(c)))::INTEGER AS dim, round(unnest(c), 6) AS x FROM u",
     "stored_merge": _STORED + " SELECT c.pos, block_id, center_idx FROM c JOIN kept USING (pos)",
     "stored_merge_stats": _STORED + ", b AS (SELECT block_id, count(*) AS local_centers, count(kept.pos) AS k FROM c LEFT JOIN kept USING (pos) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY block_id) AS partitions, local_centers, sum(local_centers) OVER (ORDER BY block_id) AS total, sum(k) OVER (ORDER BY block_id) AS merged FROM b) SELECT partitions::INTEGER AS partitions, local_centers, total::BIGINT AS total, round(total / partitions)::BIGINT AS average, merged::BIGINT AS merged, round(merged / total, 6) AS ratio, round((1 - merged / total) * 100, 6) AS reduction FROM r",
-    "streamed_merge": _STORED + " SELECT count(*) AS kept FROM kept",
+    "streamed_merge": _STORED + ", b AS (SELECT block_id, count(kept.pos) AS k FROM c LEFT JOIN kept USING (pos) GROUP BY 1) SELECT (row_number() OVER (ORDER BY block_id) - 1)::INTEGER AS batch, (sum(k) OVER (ORDER BY block_id))::BIGINT AS kept FROM b",
     "corpus_report": _LAB + ", x AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1), w AS (SELECT term_index, sum(value) AS s FROM e GROUP BY 1 ORDER BY s DESC, term_index LIMIT 1) SELECT count(*) AS documents, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS stddev, min(n) AS least, max(n) AS most, (SELECT coalesce(term_code, 'unknown_' || w.term_index) FROM w LEFT JOIN c USING (term_index)) AS first_term FROM x",
     "term_filter_report": _RATIO + ", k AS (SELECT DISTINCT ON (term_index) term_index, original_word FROM valid_terms) SELECT v.term_index, new_index, original_word, doc_freq FROM v LEFT JOIN k ON v.term_index = k.term_index",
     "monthly_reconstruction": "WITH t AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, l_discount, l_tax FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '2000-01' AND '2000-03'), u AS (SELECT month, k, 0 AS term_index, sum(l_discount) AS value FROM t GROUP BY 1, 2 UNION ALL SELECT month, k, 1, sum(l_tax) FROM t GROUP BY 1, 2) SELECT month, term_index, count(*) AS n, round(sum(value), 4) AS total FROM u WHERE value <> 0 GROUP BY 1, 2",

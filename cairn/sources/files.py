@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import row_vector
-from cairn.operators.blocks import file_blocks, with_block
-
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
@@ -67,15 +64,6 @@ def read_records(spark: SparkSession, path: str, n_attributes: int = 4) -> DataF
     return lines.select(F.transform(F.slice(cells, 1, n_attributes), lambda x: F.trim(x).cast("double")).alias("v"), F.trim(F.get(cells, F.lit(n_attributes))).alias("label"))
 
 
-def read_sample_blocks(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """A table as random sample blocks: ``df`` with ``block_id``."""
-    return with_block(df, key, n, seed)
-
-
-def blocks_of_files(df: DataFrame) -> DataFrame:
-    return file_blocks(df, F.input_file_name())
-
-
 def nested_centers(table: DataFrame, column: str = "centers_list", block: str = "partition_id") -> DataFrame:
     """partition_id, center_index, center_values of a table with one list of centers per block."""
     return table.select(block, F.posexplode(column).alias("center_index", "center_values"))
@@ -92,6 +80,19 @@ def write_parquet(df: DataFrame, path: str, single_file: bool = False, blocks: b
     (out.partitionBy("block_id") if blocks else out).parquet(path)
 
 
+def write_arrivals(df: DataFrame, by: str, path: str) -> None:
+    """One parquet file per value of ``by``, dated in their order, as a stream would bring them."""
+    df.repartition(by).withColumn("__by", F.format_string("%012d", F.col(by).cast("bigint"))).write.partitionBy("__by").parquet(path)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = sorted(x.getPath().toString() for x in fs.listStatus(root) if x.isDirectory())
+    for k, folder in enumerate(folders):
+        for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)):
+            fs.setTimes(x.getPath(), 1_700_000_000_000 + 1000 * k, -1)
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", header).csv(path)
 
@@ -122,6 +123,29 @@ def scatter(points: DataFrame, centers: DataFrame) -> DataFrame:
     return points.select(*two(F.col("v"), "point")).unionByName(centers.select(*two(F.col("center"), "center")))
 
 
-def numeric_rows(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """id, v of a table of numeric columns."""
-    return df.select(F.col(key).alias("id"), row_vector(df, columns).alias("v"))
+def dump_distances(distances: DataFrame, path: str) -> DataFrame:
+    """A debugging dump: ``distances`` as CSV lines without header; gives ``distances`` back."""
+    write_csv(distances, path, header=False)
+    return distances
+
+
+#: The columns of the three statistics files.
+STATISTICS = {
+    "local": ["partition", "local_centers", "total_local_centers", "avg_local_centers"],
+    "merged": ["partition", "total_local_centers", "avg_local_centers", "merged_centers", "compression_ratio", "reduction_percentage"],
+    "incremental": ["partition", "total_local_centers", "avg_local_centers", "merged_centers", "compression_ratio", "reduction_percentage"],
+}
+
+
+def statistics_file(stats: DataFrame, kind: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """``consolidate.cumulative_statistics`` in one of the three report forms, ratios with six decimals.
+
+    The incremental form takes ``extra``: names and values of further columns.
+    """
+    if kind not in STATISTICS:
+        raise ValueError("kind must be local, merged or incremental")
+    if extra and kind != "incremental":
+        raise ValueError("only the incremental form has further columns")
+    named = stats.select(F.col("partitions").alias("partition"), "local_centers", F.col("total").alias("total_local_centers"), F.col("average").alias("avg_local_centers"), F.col("merged").alias("merged_centers"), F.col("ratio").alias("compression_ratio"), F.col("reduction").alias("reduction_percentage"))
+    shown = fixed_decimals(named.select(*STATISTICS[kind]), [c for c in STATISTICS[kind] if c in ("compression_ratio", "reduction_percentage")])
+    return shown.select("*", *(F.lit(v).alias(k) for k, v in (extra or {}).items()))
