@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import partial
 
 import numpy as np
@@ -21,7 +22,8 @@ from cairn.operators import profile as P
 from cairn.operators import reduce as R
 from cairn.operators.fit import best_observer, local_centers, local_models, two_layer_check
 from cairn.plans import pipelines
-from cairn.runtime import durable, read_table
+from cairn.runtime import durable, numbered, read_table, shared_dir
+from cairn.sources import files as S
 
 BLOCKS, OBSERVERS, KNN = 4, 2, 5
 #: Literal mixture on which the density operators are compared with SQL.
@@ -351,16 +353,36 @@ def cluster_means(s, d):
     return E.mean_vectors(points(s, d), ["label"]).select("label", "cluster_size", F.posexplode("mean").alias("dim", "x")).select("label", "cluster_size", "dim", *r6("x"))
 
 
+def _from_file(s, p: DataFrame) -> DataFrame:
+    """The points by way of one headerless CSV matrix, numbered in the order of their values."""
+    at = f"{shared_dir(s)}/cairn/{uuid.uuid4().hex}"
+    S.write_matrix(p, at)
+    return durable(numbered(S.read_matrix(s, at).select("v"), ["v"], "id", "bigint"))
+
+
+def _from_folder(s, p: DataFrame, n: int) -> DataFrame:
+    """The points by way of a folder of ``n`` CSV files, one block each."""
+    at = f"{shared_dir(s)}/cairn/{uuid.uuid4().hex}"
+    S.write_block_folder(B.with_block(p, "id", n), n, at)
+    return durable(numbered(S.read_block_folder(s, at), ["block_id", "v"], "id", "bigint"))
+
+
 def pipeline_variant(name: str, **changes):
     def query(s, d):
         p = points(s, d).select("id", "v")
+        if name == "one_file":
+            p = _from_file(s, p)
+        if name == "file_blocks":
+            p = _from_folder(s, p, pipelines.VARIANTS[name].n_blocks)
         if name.startswith("text_"):  # these begin with a reduction to ten dimensions
             p = durable(R.project(p, *R.singular_values(p, 10)).withColumnRenamed("u", "v"))
         out = pipelines.variant(p, name, **changes)
-        n = out.centers.agg(F.count(F.lit(1)).alias("global_centers"))
-        return n.withColumn("local_centers", F.lit(out.local.count())).withColumn("cost", F.lit(out.cost))
+        shown = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias("center")
+        local = out.local.select(F.lit("local").alias("stage"), "block_id", "observer_id", "pos", shown("center"))
+        last = out.centers.select(F.lit("final").alias("stage"), F.lit(None).cast("int").alias("block_id"), F.lit(None).cast("int").alias("observer_id"), "pos", shown("center"))
+        return local.unionByName(last).withColumn("cost", F.lit(out.cost).cast("double"))
 
-    query.__doc__ = f"The pipeline {name} on the embeddings: numbers of local and global centers, and the cost."
+    query.__doc__ = f"The pipeline {name} on the embeddings: its local centers by block and observer, its final centers, and the cost."
     return query
 
 
@@ -409,6 +431,7 @@ QUERIES = {
     "kmeans_assign": kmeans_assign, "kmeans_three_rounds": kmeans_three_rounds, "kmeans_cost": kmeans_cost, "kmeans_counts": kmeans_counts, "kmeans_library": kmeans_library,
     "purity": purity, "adjusted_rand": adjusted_rand, "run_stats": run_stats, "cluster_distribution": cluster_distribution, "cluster_extremes": cluster_extremes, "cluster_means": cluster_means,
     **{f"pipeline_{n}": pipeline_variant(n) for n in pipelines.VARIANTS},
+    "repeated_runs": lambda s, d: pipelines.repeated(durable(points(s, d).select("id", "v", "label")), pipelines.VARIANTS["one_file"]),
 }
 
 _AT = "block_id, observer_id"
@@ -473,3 +496,4 @@ _ALL = "c AS (SELECT (row_number() OVER (ORDER BY partition_id, idx) - 1)::INTEG
 SQL |= {f"stored_{n}": SQL[n].replace(_FEW, _ALL) for n in CONSOLIDATION}
 SQL["stored_center_counts"] = f"WITH {_ALL}, n AS (SELECT block_id, count(*) AS n FROM c GROUP BY 1) SELECT sum(n)::BIGINT AS total, min(n) AS least, max(n) AS most, avg(n) AS mean FROM n"
 SQL["stored_fastest_change_threshold"] = SQL["stored_fastest_change_threshold"].replace(" FROM b", " FROM (SELECT 1) LEFT JOIN b ON true")  # few centers have no threshold
+SQL["density_cut_off"] = f"WITH RECURSIVE {_ALL}, e AS MATERIALIZED (SELECT 1 - exp(-power(list_distance(a.center, b.center), 2) / 2) AS d FROM c a JOIN c b ON a.pos < b.pos), r(step, a, b, dc) AS (SELECT 0, min(d), max(d), (min(d) + max(d)) / 2 FROM e UNION ALL SELECT step + 1, CASE WHEN share < 0.01 THEN dc ELSE a END, CASE WHEN share < 0.01 THEN b ELSE dc END, ((CASE WHEN share < 0.01 THEN dc ELSE a END) + (CASE WHEN share < 0.01 THEN b ELSE dc END)) / 2 FROM (SELECT r.*, (SELECT count(*) FROM e WHERE e.d < r.dc) * 2.0 / power((SELECT count(*) FROM c), 2) AS share FROM r) WHERE share NOT BETWEEN 0.01 AND 0.02 AND step < 100 AND b - a >= 1e-14) SELECT round(dc, 6) AS dc FROM r ORDER BY step DESC LIMIT 1"

@@ -216,17 +216,8 @@ def io_matrix(s, d):
 def io_block_folder(s, d):
     """One CSV file per block, read as a folder of blocks."""
     at = _folder(s)
-    p = B.with_block(points(s, d), "id", 4)
-    for b in range(4):
-        S.write_matrix(B.one_block(p, b).coalesce(1), f"{at}/tmp{b}")
-    jvm = s.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(at).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
-    for b in range(4):
-        found = [x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{at}/tmp{b}")) if x.getPath().getName().startswith("part-")]
-        if found:
-            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{at}/in"))
-            fs.rename(found[0], jvm.org.apache.hadoop.fs.Path(f"{at}/in/block{b}.csv"))
-    return B.block_sizes(S.read_block_folder(s, f"{at}/in"))
+    S.write_block_folder(B.with_block(points(s, d), "id", 4), 4, at)
+    return B.block_sizes(S.read_block_folder(s, at))
 
 
 def io_labels(s, d):

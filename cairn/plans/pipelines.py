@@ -7,6 +7,7 @@ are written once and read by everything after them.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -21,7 +22,7 @@ from cairn.operators import reduce as R
 from cairn.operators import terms as T
 from cairn.operators.fit import best_observer, local_centers, local_models
 from cairn.operators.kmeans import assign_centers, center_matrix, cost, lloyd
-from cairn.runtime import durable
+from cairn.runtime import durable, release
 
 
 @dataclass(frozen=True)
@@ -136,9 +137,9 @@ class Result:
 
 
 def run(points: DataFrame, plan: Plan, dim: int | None = None) -> Result:
-    """Points (id bigint, v array<double>) through all stages of ``plan``."""
+    """Points (id bigint, v array<double>) through all stages of ``plan``; a column ``block_id`` from 0 keeps given blocks."""
     if plan.local:
-        rows = B.with_block(points.select("id", "v"), "id", plan.n_blocks, plan.seed)
+        rows = points.select("block_id", "id", "v") if "block_id" in points.columns else B.with_block(points.select("id", "v"), "id", plan.n_blocks, plan.seed)
         if plan.use_blocks and plan.use_blocks < plan.n_blocks:
             rows = B.choose_blocks(rows.withColumnRenamed("id", "pid"), plan.n_blocks, plan.use_blocks, plan.seed).withColumnRenamed("pid", "id")
         rows = durable(rows.select("block_id", "id", "v"))
@@ -165,6 +166,21 @@ def variant(points: DataFrame, name: str, **changes) -> Result:
     return run(points, replace(VARIANTS[name], **changes))
 
 
+def repeated(points: DataFrame, plan: Plan, repeats: int = 5) -> DataFrame:
+    """run, clusters, purity, ari, seconds of ``plan`` on labelled points (id, v, label), once for each of ``repeats`` seeds."""
+    rows = []
+    for r in range(repeats):
+        began = time.time()
+        out = run(points.select("id", "v"), replace(plan, seed=r))
+        if out.labels is None:
+            rows.append((r, out.centers.count(), None, None, time.time() - began))
+            continue
+        labels = durable(out.labels.join(points.select("id", F.col("label").alias("truth")), "id").withColumnRenamed("label", "cluster"))
+        rows.append((r, labels.select("cluster").distinct().count(), E.purity(labels).first()["purity"], E.adjusted_rand(labels).first()["ari"], time.time() - began))
+        release(labels)
+    return points.sparkSession.createDataFrame(rows, "run int, clusters bigint, purity double, ari double, seconds double")
+
+
 def stored_merge(lists: DataFrame, threshold: float = 0.3, blocks: int | None = None) -> DataFrame:
     """Stored lists of local centers (partition_id, centers_list) of the first ``blocks`` partitions, by keep-first."""
     flat = lists.select(F.col("partition_id").alias("block_id"), F.posexplode("centers_list").alias("center_idx", "center")).filter("center is not null")

@@ -102,6 +102,23 @@ def write_matrix(points: DataFrame, path: str, v: str = "v") -> None:
     points.select(F.array_join(F.transform(v, lambda x: x.cast("string")), ",").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_block_folder(blocks: DataFrame, n: int, path: str) -> None:
+    """One CSV file per block 0..n-1 (block_id, v), in one pass; a block without rows gets an empty file."""
+    lines = blocks.select("block_id", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("value"))
+    lines.repartition("block_id").write.partitionBy("block_id").text(f"{path}/parts")
+    spark = blocks.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for b in range(n):
+        folder, target = at(f"{path}/parts/block_id={b}"), at(f"{path}/block{b:05}.csv")
+        if fs.exists(folder):
+            fs.rename(next(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), target)
+        else:
+            fs.create(target).close()
+    fs.delete(at(f"{path}/parts"), True)
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """One value per line."""
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
