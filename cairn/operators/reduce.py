@@ -28,6 +28,84 @@ def singular_values(points: DataFrame, k: int, r_cond: float = 1e-9) -> tuple[np
         rows.unpersist()
 
 
+def _sparse_rows(idx: pa.Array, vals: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, value) of the entries of two list columns."""
+    n = np.diff(np.asarray(idx.offsets))
+    return np.repeat(np.arange(len(n)), n), np.asarray(idx.flatten()).astype(np.int64), np.asarray(vals.flatten(), float)
+
+
+def _summed(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``x`` added up by ``at``, as ``size`` rows."""
+    out = np.zeros((size, x.shape[1]))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+        out[at[order][first]] = np.add.reduceat(x[order], first, axis=0)
+    return out
+
+
+def sparse_singular_values(rows: DataFrame, size: int, k: int, tolerance: float = 1e-8, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``singular_values`` of sparse rows (idx array<int>, vals array<double>) of ``size`` columns, never made dense.
+
+    Block Lanczos: a pass over the rows multiplies a block of k + 6 vectors by
+    A'A; each task adds up its part, and a sum per column comes to the driver,
+    which holds the blocks.  It ends when the residuals of the k greatest values
+    are below ``tolerance`` of the greatest, or the blocks span all columns.
+    """
+    spark = rows.sparkSession
+    k = min(k, size)
+    width = min(size, k + 6)
+    part = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    basis, image = np.empty((size, 0)), np.empty((size, 0))
+    while True:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q = shared.value
+            total = np.zeros(q.shape)
+            for b in batches:
+                row, at, x = _sparse_rows(b.column(0), b.column(1))
+                y = _summed(row, q[at] * x[:, None], b.num_rows)
+                total += _summed(at, y[row] * x[:, None], len(q))
+            used = np.flatnonzero(total.any(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(used) * q.shape[1] + 1, q.shape[1], dtype=np.int32)), pa.array(total[used].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), lists], names=["at", "z"])
+
+        sums = rows.select("idx", "vals").mapInArrow(run, "at int, z array<double>").groupBy("at").agg(F.array(*(F.sum(F.get("z", F.lit(i))) for i in range(part.shape[1]))).alias("z"))
+        z = np.zeros(part.shape)
+        for r in sums.collect():
+            z[r["at"]] = r["z"]
+        basis, image = np.concatenate([basis, part], 1), np.concatenate([image, z], 1)
+        small = basis.T @ image
+        theta, y = np.linalg.eigh((small + small.T) / 2)
+        theta, y = theta[::-1][:k], y[:, ::-1][:, :k]
+        vectors = basis @ y
+        residual = np.linalg.norm(image @ y - vectors * theta, axis=0)
+        new = z.copy()
+        for _ in range(2):  # twice is enough
+            new -= basis @ (basis.T @ new)
+        u, s, _ = np.linalg.svd(new, full_matrices=False)
+        part = u[:, s > 1e-10 * max(theta[0], 1e-300)][:, : size - basis.shape[1]]
+        if len(theta) == k and (residual <= tolerance * max(theta[0], 1e-300)).all() or not part.shape[1]:
+            return np.sqrt(np.maximum(theta, 0.0)), vectors
+
+
+def sparse_project(rows: DataFrame, values: np.ndarray, right: np.ndarray) -> DataFrame:
+    """``project`` for sparse rows (id, idx, vals)."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(right / np.where(values > 0, values, np.inf)))
+    k = right.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            row, at, x = _sparse_rows(b.column(1), b.column(2))
+            u = _summed(row, m[at] * x[:, None], b.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, k, dtype=np.int32)), pa.array(u.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "u"])
+
+    return rows.select("id", "idx", "vals").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, u array<double>")
+
+
 def project(points: DataFrame, values: np.ndarray, right: np.ndarray) -> DataFrame:
     """id, u: each row's left singular coordinates A V / s, by id.
 

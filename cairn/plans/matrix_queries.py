@@ -307,11 +307,15 @@ def normalised_documents(s, d):
     kept, valid = T.term_filter(durable(entries(s, d)), MIN_DF, MIN_VAR, max_ratio=RATIO)
     unit = T.l2_normalised(kept)
     size = valid.count()
-    rows = unit.groupBy("doc_id").agg(F.collect_list(F.struct("term_index", "value")).alias("e"))
-    v = rows.select(F.xxhash64("doc_id").alias("id"), "doc_id", V.densify(F.lit(size), F.transform("e", lambda x: x["term_index"]), F.transform("e", lambda x: x["value"])).alias("v"))
-    v = durable(v)
-    values, right = R.singular_values(v, 10)
-    return R.project(v, values, right).select("id", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
+    v = _sparse_documents(unit)
+    values, right = R.sparse_singular_values(v, size, 10)
+    return R.sparse_project(v, values, right).select("id", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
+
+
+def _sparse_documents(unit: DataFrame) -> DataFrame:
+    """id, doc_id, idx, vals of the documents' entries."""
+    rows = unit.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_index", "value"))).alias("e"))
+    return durable(rows.select(F.xxhash64("doc_id").alias("id"), "doc_id", F.col("e.term_index").alias("idx"), F.col("e.value").alias("vals")))
 
 
 def flagship(s, d):
@@ -319,10 +323,9 @@ def flagship(s, d):
     kept, valid = T.term_filter(durable(entries(s, d)), 3, MIN_VAR, max_ratio=0.5)
     unit = durable(T.l2_normalised(kept))
     size = valid.count()
-    rows = unit.groupBy("doc_id").agg(F.collect_list(F.struct("term_index", "value")).alias("e"))
-    v = durable(rows.select(F.xxhash64("doc_id").alias("id"), "doc_id", V.densify(F.lit(size), F.transform("e", lambda x: x["term_index"]), F.transform("e", lambda x: x["value"])).alias("v")))
+    v = _sparse_documents(unit)
     plan = pipelines.Plan(2, 2, n_observers=2, knn=3, selection="window", merge_all=("keep_first", 0.3), fit={"delta": 2})
-    out = pipelines.full_flow(v.select("id", "v"), plan, 5)
+    out = pipelines.sparse_flow(v, size, plan, 5)
     ids = v.select("id", "doc_id")
     if out.labels is None:
         return s.createDataFrame([], "cluster int, size bigint, top_code string")

@@ -236,3 +236,10 @@ def full_flow(points: DataFrame, plan: Plan, rank: int) -> Result:
     values, right = R.singular_values(points, rank)
     reduced = R.scaled_vectors(R.project(points, values, right).withColumnRenamed("u", "v"))
     return run(durable(reduced), plan)
+
+
+def sparse_flow(rows: DataFrame, size: int, plan: Plan, rank: int) -> Result:
+    """``full_flow`` of sparse vectors (id, idx, vals) of ``size`` columns."""
+    values, right = R.sparse_singular_values(rows, size, rank)
+    reduced = R.scaled_vectors(R.sparse_project(rows, values, right).withColumnRenamed("u", "v"))
+    return run(durable(reduced), plan)
